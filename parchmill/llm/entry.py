@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import decontaminate, fertility, shards, storage, token_planes, vocabularies, warc
+from parchmill.llm import decontaminate, fertility, gam_quality, line_dedup, piece_codec, shards, storage, token_planes, vocabularies, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,28 @@ def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.measure(docs, vocabularies.public("piece_bpe_32k.model"), vocabularies.public("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_planes, op2_decontamination, op3_warc, op5_byte_shards, op8_fertility_rules)}
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(table(spark, sf_dir, "documents"), vocabularies.public("piece_bpe_32k.model"), digests=True)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.clean(table(spark, sf_dir, "documents"), F.col("source"), report=True)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def remainder(column: str, n: int) -> Column:
+    """crc32 of an id as text, modulo ``n``: what training and held-out rows are told apart by."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def op10_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = gam_quality.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    scored = gam_quality.score(docs, model)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= gam_quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_planes, op2_decontamination, op3_warc, op5_byte_shards, op7_piece_codec, op8_fertility_rules, op9_line_dedup, op10_gam_quality)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

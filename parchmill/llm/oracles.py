@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from parchmill.llm.decontaminate import N, SHARE
+from parchmill.llm.line_dedup import MIN_PAGES, RATIO
 
 OP2 = rf"""
 WITH tokens AS (
@@ -34,4 +35,22 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLES = {"op2_decontamination": OP2, "op3_warc": OP3}
+_BLANKS = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
+OP9_CLEAN = f"""
+d AS (SELECT *, coalesce(source, '') AS host, coalesce(text, '') AS body FROM {{docs}}),
+totals AS (SELECT host, count(DISTINCT body) AS total FROM d GROUP BY host),
+pages AS (SELECT DISTINCT host, body FROM d),
+page_lines AS (SELECT DISTINCT host, body, trim(line, {_BLANKS}) AS line FROM (SELECT host, body, unnest(string_split(body, chr(10))) AS line FROM pages)),
+boiler AS (SELECT host, line FROM page_lines JOIN totals USING (host) WHERE line <> '' GROUP BY host, line, total HAVING count(*) >= {MIN_PAGES} AND count(*) > {RATIO} * total),
+marked AS (
+  SELECT host, body, i, raw, b.line IS NOT NULL AS drop
+  FROM (SELECT host, body, i, string_split(body, chr(10))[i] AS raw FROM (SELECT host, body, unnest(generate_series(1, len(string_split(body, chr(10))))) AS i FROM pages))
+  LEFT JOIN (SELECT host AS bhost, line FROM boiler) b ON bhost = host AND b.line = trim(raw, {_BLANKS})),
+cleaned AS (SELECT host, body, count(*) AS n_lines, count(*) FILTER (drop) AS n_dropped, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT drop), '') AS new_text FROM marked GROUP BY host, body)"""
+OP9 = f"""
+WITH {OP9_CLEAN.format(docs="documents")}
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_dropped, CASE WHEN text IS NOT NULL THEN length(new_text) END AS n_chars, CASE WHEN text IS NOT NULL THEN sha256(new_text) END AS text_sha256
+FROM d JOIN cleaned USING (host, body)
+"""
+
+ORACLES = {"op9_line_dedup": OP9, "op2_decontamination": OP2, "op3_warc": OP3}
