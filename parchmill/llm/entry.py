@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import decontaminate, fertility, gam_quality, line_dedup, piece_codec, shards, storage, token_planes, vocabularies, warc
+from parchmill.llm import decontaminate, fertility, gam_quality, jaccard_forest, line_dedup, piece_codec, shards, storage, token_planes, vocabularies, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest).drop("url")
 
 
+def op4_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_forest.join(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "start")
@@ -61,7 +65,7 @@ def op10_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= gam_quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_planes, op2_decontamination, op3_warc, op5_byte_shards, op7_piece_codec, op8_fertility_rules, op9_line_dedup, op10_gam_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_planes, op2_decontamination, op3_warc, op4_jaccard_forest, op5_byte_shards, op7_piece_codec, op8_fertility_rules, op9_line_dedup, op10_gam_quality)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

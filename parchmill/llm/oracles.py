@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from parchmill.llm.decontaminate import N, SHARE
+from parchmill.llm.jaccard_forest import SHINGLE, THRESHOLD
 from parchmill.llm.line_dedup import MIN_PAGES, RATIO
 
 OP2 = rf"""
@@ -53,4 +54,20 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_drop
 FROM d JOIN cleaned USING (host, body)
 """
 
-ORACLES = {"op9_line_dedup": OP9, "op2_decontamination": OP2, "op3_warc": OP3}
+_OP4_SETS = rf"""
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{{{80}}}}-\x{{{{10FFFF}}}}]+') AS w FROM {{docs}}),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(generate_series(1, greatest(len(w) - {SHINGLE} + 1, 1)), lambda i: hash(array_to_string(w[i:i + {SHINGLE} - 1], ' '))))) AS s FROM w WHERE len(w) > 0),
+sets AS (SELECT s, min(doc_id) AS rep, count(*) AS copies FROM s GROUP BY s),
+grams AS (SELECT rep, copies, len(s) AS n, unnest(s) AS g FROM sets),
+meets AS (SELECT a.rep AS x, b.rep AS y, b.copies, a.n AS n, b.n AS m, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+linked AS (SELECT x, y, copies FROM meets WHERE c >= {THRESHOLD} * (n + m - c) - 1e-9),
+reach AS (SELECT x, x AS y FROM (SELECT DISTINCT x FROM linked) UNION SELECT r.x, l.y FROM reach r JOIN linked l ON l.x = r.y),
+roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x),
+counts AS (SELECT x, sum(copies) AS links FROM linked GROUP BY x)"""
+OP4 = f"""
+WITH RECURSIVE {_OP4_SETS.format(docs="documents")}
+SELECT doc_id, coalesce(root, rep, doc_id) AS class_id, coalesce(rep, doc_id) AS copy_id, CAST(coalesce(links, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links
+FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN sets USING (s) LEFT JOIN roots ON roots.x = rep LEFT JOIN counts ON counts.x = rep
+"""
+
+ORACLES = {"op4_jaccard_forest": OP4, "op9_line_dedup": OP9, "op2_decontamination": OP2, "op3_warc": OP3}
