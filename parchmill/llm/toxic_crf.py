@@ -2,8 +2,8 @@
 
 Labelled tokens.  Labels are given by document; token labels are derived from them.  In a bounded
 sample of labelled training documents, words and word beginnings that toxic documents hold and
-clean ones (nearly) never do become cues (``PRECISION``, weighted by class sizes, and so many
-distinct toxic texts that chance among all candidates is ruled out, ``CHANCE``); in toxic documents the words with a cue are labelled 1, all other words of the sample are 0.
+clean ones (nearly) never do become cues (``PRECISION``, weighted by class sizes, and in so many
+distinct contexts that chance among all candidates is ruled out, ``CHANCE``); in toxic documents the words with a cue are labelled 1, all other words of the sample are 0.
 
 Model.  Two tags, transition and start scores, and an emission score that sums hashed features
 of the word: the word, its first three to six letters, its last three.  It is trained on windows
@@ -232,20 +232,23 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS)
         return empty
     coded = pa.array(words).dictionary_encode()
     vocabulary, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    held = np.unique(codes.astype(np.int64) * len(texts) + row)
-    toxic, clean = Counter(), Counter()
-    by_doc: dict[int, set[str]] = {}
+    # Witnesses of a cue are distinct words before it: copies, exact or near, add none.
+    before = np.append(-1, codes[:-1]).astype(np.int64)
+    before[np.concatenate([[True], row[1:] != row[:-1]])] = -1
     cues = [cues_of(w) for w in vocabulary]
-    for key in held.tolist():
-        by_doc.setdefault(key % len(texts), set()).update(cues[key // len(texts)])
-    seen: set[str] = set()
-    for doc, found in by_doc.items():
-        if texts[doc] not in seen:  # copies of a text are one witness
-            seen.add(texts[doc])
-            (toxic if labels[doc] else clean).update(found)
+    witnesses: tuple[Counter, Counter] = Counter(), Counter()
+    for label, count in enumerate(witnesses):
+        met = np.unique(codes[labels[row] == label].astype(np.int64) * (len(vocabulary) + 1) + before[labels[row] == label] + 1)
+        held: set[tuple[str, int]] = set()
+        for key in met.tolist():
+            word, last = divmod(key, len(vocabulary) + 1)
+            held.update((c, last) for c in cues[word])
+        count.update(c for c, _ in held)
+    clean, toxic = witnesses
+    all1, all0 = sum(toxic.values()), sum(clean.values())
     candidates = sum(k > 1 for k in toxic.values())
-    least = max(2, math.log(CHANCE / max(candidates, 1)) / math.log(n1 / (n1 + n0)))
-    chosen = {c for c, k in toxic.items() if k >= least and k / n1 >= PRECISION * (k / n1 + clean[c] / n0)}
+    least = max(2, math.log(CHANCE / max(candidates, 1)) / math.log(all1 / (all1 + all0)))
+    chosen = {c for c, k in toxic.items() if k >= least and k / all1 >= PRECISION * (k / all1 + clean[c] / all0)}
     is_cue = np.array([not chosen.isdisjoint(x) for x in cues], bool)
     tags = (is_cue[codes] & (labels[row] == 1)).astype(np.int64)
     if not tags.any():
