@@ -24,7 +24,6 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,9 +36,9 @@ from pyspark.sql import functions as F
 from parchmill.llm.textbuf import ALNUM, LOWER, mix, sliced, spans
 
 #: Training documents at most of each label, by smallest xxhash64(doc_id).
-SAMPLE = 3000
+SAMPLE = 2500
 #: Bytes of all training texts at most; documents beyond it are left out of training whole.
-SAMPLE_BYTES = 48 << 20
+SAMPLE_BYTES = 10 << 20
 PRECISION, CHANCE = 0.97, 0.1
 WINDOW = 32
 BUCKETS = 1 << 18
@@ -225,31 +224,36 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS)
     words, rows = [], [np.zeros(0, np.int64)]
     for lo, _, buf, off in sliced(pa.array(texts, pa.large_string())):
         found, _, _, row = _tokens(buf, off)
-        words += found.to_pylist()
+        words.append(found)
         rows.append(row + lo)
     row = np.concatenate(rows)
-    if not words:
+    if not len(row):
         return empty
-    coded = pa.array(words).dictionary_encode()
+    coded = pa.concat_arrays(words).dictionary_encode()
     vocabulary, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     # Witnesses of a cue are distinct words before it: copies, exact or near, add none.
     before = np.append(-1, codes[:-1]).astype(np.int64)
     before[np.concatenate([[True], row[1:] != row[:-1]])] = -1
-    cues = [cues_of(w) for w in vocabulary]
-    witnesses: tuple[Counter, Counter] = Counter(), Counter()
-    for label, count in enumerate(witnesses):
-        met = np.unique(codes[labels[row] == label].astype(np.int64) * (len(vocabulary) + 1) + before[labels[row] == label] + 1)
-        held: set[tuple[str, int]] = set()
-        for key in met.tolist():
-            word, last = divmod(key, len(vocabulary) + 1)
-            held.update((c, last) for c in cues[word])
-        count.update(c for c, _ in held)
+    number: dict[str, int] = {}
+    cue_lists = [[number.setdefault(c, len(number)) for c in cues_of(w)] for w in vocabulary]
+    n_cues = np.fromiter(map(len, cue_lists), np.int64, len(cue_lists))
+    cues = np.fromiter((c for x in cue_lists for c in x), np.int64, int(n_cues.sum()))
+    cue_begin = np.cumsum(n_cues) - n_cues
+    del cue_lists
+    wide = len(vocabulary) + 1
+    witnesses = []
+    for label in (0, 1):
+        own = labels[row] == label
+        word, last = np.divmod(np.unique(codes[own].astype(np.int64) * wide + before[own] + 1), wide)
+        sizes = n_cues[word]
+        stops = np.cumsum(sizes)
+        of = cues[np.repeat(cue_begin[word] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        witnesses.append(np.bincount(np.unique(of * wide + np.repeat(last, sizes)) // wide, minlength=len(number)))
     clean, toxic = witnesses
-    all1, all0 = sum(toxic.values()), sum(clean.values())
-    candidates = sum(k > 1 for k in toxic.values())
-    least = max(2, math.log(CHANCE / max(candidates, 1)) / math.log(all1 / (all1 + all0)))
-    chosen = {c for c, k in toxic.items() if k >= least and k / all1 >= PRECISION * (k / all1 + clean[c] / all0)}
-    is_cue = np.array([not chosen.isdisjoint(x) for x in cues], bool)
+    all1, all0 = max(int(toxic.sum()), 1), max(int(clean.sum()), 1)
+    least = max(2, math.log(CHANCE / max(int((toxic > 1).sum()), 1)) / math.log(all1 / (all1 + all0)))
+    chosen = (toxic >= least) & (toxic / all1 >= PRECISION * (toxic / all1 + clean / all0))
+    is_cue = np.logical_or.reduceat(chosen[cues], cue_begin)
     tags = (is_cue[codes] & (labels[row] == 1)).astype(np.int64)
     if not tags.any():
         return empty
@@ -320,7 +324,7 @@ def tag(docs: DataFrame, model: ToxicTagger, id_col: str = "doc_id", text_col: s
                 coded = words.dictionary_encode()
                 vocabulary = coded.dictionary.to_pylist()
                 new = [w for w in vocabulary if w not in known]
-                if len(known) + len(new) > 400_000:
+                if len(known) + len(new) > 150_000:
                     known, new = {}, vocabulary
                 known.update(zip(new, model.emissions(new).tolist()))
                 emission = np.fromiter(map(known.__getitem__, vocabulary), float, len(vocabulary))[coded.indices.to_numpy()] if len(row) else np.zeros(0)
