@@ -67,6 +67,11 @@ def _bounds(lang: list, counts: Counts, bands: dict) -> dict[str, np.ndarray]:
     return {m: np.array([bands[x][m] for x in names]).reshape(-1, 2) for m in MEASURES}
 
 
+def _forget(piece_path: str, byte_path: str) -> None:
+    vocabularies.piece_words(piece_path).forget()
+    vocabularies.byte_words(byte_path).forget()
+
+
 def _judge(column, lang: list, bands: dict, piece_path: str, byte_path: str):
     for lo, hi, buf, off in sliced(column):
         counts = Counts(buf, off)
@@ -85,6 +90,7 @@ def measure(docs: DataFrame, piece_path: str, byte_path: str, bands: dict = BAND
         for batch in batches:
             for lo, hi, counts, measured, base_failed, kept in _judge(batch.column(1), batch.column(2).to_pylist(), bands, piece_path, byte_path):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(getattr(counts, c)) for c in COUNTS), pa.array(base_failed), pa.array(kept), *(pa.array(measured[m]) for m in ("n_pieces", *MEASURES))], names=["doc_id", *COUNTS, "base_failed", "kept", "n_pieces", *MEASURES])
+        _forget(piece_path, byte_path)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -99,5 +105,6 @@ def keep(docs: DataFrame, piece_path: str, byte_path: str, bands: dict = BANDS,
         for batch in batches:
             for lo, hi, *_, kept in _judge(batch.column(text), batch.column(lang).to_pylist(), bands, piece_path, byte_path):
                 yield batch.slice(lo, hi - lo).filter(pa.array(kept))
+        _forget(piece_path, byte_path)
 
     return docs.mapInArrow(run, docs.schema)

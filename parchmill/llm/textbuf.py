@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: [^\x20\x09-\x0D]: bytes of words that white space parts.
 SPACED = np.ones(256, dtype=bool)
@@ -164,12 +164,15 @@ class WordCodec:
 
     ``encode`` maps a list of words to (ids of all words, one after the other; number of
     ids of each word).  Words already met are kept, up to ``keep`` of them, for the next
-    slices and tasks of the same worker.
+    slices of the same task; ``forget`` gives the memory back at its end.
     """
 
-    def __init__(self, encode, keep: int = 400_000):
+    def __init__(self, encode, keep: int = 150_000):
         self.encode, self.keep, self.known = encode, keep, {}
 
+    def forget(self) -> None:
+        self.known = {}
+
     def distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
         new = [w for w in words if w not in known]
