@@ -1,17 +1,310 @@
-"""Every registered query of the screening engine and its DuckDB oracle."""
+"""Every registered query of the screening engine and its DuckDB oracle.
+
+The driver's tables hold no résumés, so candidates (one a customer), job descriptions (one a
+nation), damaged JSON (one an event) and noisy texts (one a document) are derived by SQL
+expressions that both engines read the same."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parchmill.functions import extract, jsonfix, text, wrap
+from parchmill.functions.lexicon import CITIES, DEGREES, SKILLS
+from parchmill.operators import layout, score
+from parchmill.sources import files
+from parchmill.streaming import events
 
 FLAGSHIP = "rank_candidates_per_jd"
+AS_OF = 2025
+TOP = 10
+
+_SOME = {"Python": 2, "JavaScript": 3, "Java": 5, "TypeScript": 4, "Go": 7, "React": 3, "Vue.js": 6, "Vue": 4, "Node.js": 5, "Docker": 6, "Kubernetes": 7, "PostgreSQL": 4, "C++": 9, "大模型": 5, "机器学习": 8}
+
+
+def _skill_list(key: str, shift: int) -> str:
+    return ", ".join(f"CASE WHEN ({key} + {k + shift}) % {n} = 0 THEN '{s}、' ELSE '' END" for k, (s, n) in enumerate(_SOME.items()))
+
+
+RESUME = f"""concat(
+  CASE c_custkey % 4 WHEN 0 THEN '姓名：张伟' WHEN 1 THEN '李晓明' WHEN 2 THEN 'John Smith' ELSE '个人简历资料' END, chr(10),
+  '电话 13', CAST(c_custkey % 10 AS STRING), '-', lpad(CAST(c_custkey * 7 % 10000 AS STRING), 4, '0'), '-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'), chr(10),
+  CASE WHEN c_custkey % 9 = 0 THEN '' ELSE concat('邮箱 user', CAST(c_custkey AS STRING), '@mail', CAST(c_custkey % 7 AS STRING), '.example.com') END, chr(10),
+  CASE c_custkey % 5 WHEN 0 THEN '现居杭州' WHEN 1 THEN '上海 / 北京' WHEN 2 THEN '' WHEN 3 THEN '成都' ELSE '广州深圳' END, chr(10),
+  CASE c_custkey % 3 WHEN 0 THEN '浙江大学 · 软件工程 · 本科 2014.09 - 2018.06' WHEN 1 THEN '武汉学院 计算机科学 硕士 2016年9月-2019年6月' ELSE '自学' END, chr(10),
+  CASE WHEN c_custkey % 6 = 0 THEN concat('浙江大学 交流 2019', chr(10), '南京学校 工商管理 2011') ELSE '' END, chr(10),
+  CASE c_custkey % 4 WHEN 0 THEN concat(CAST(c_custkey % 12 AS STRING), ' 年以上工作经验') WHEN 1 THEN '2016年 至今' WHEN 2 THEN '3年经历' ELSE '' END, chr(10),
+  '技能：', {_skill_list("c_custkey", 0)}, '沟通')"""
+JOB = f"""concat('岗位 ', n_name, chr(10), '要求：', {_skill_list("n_nationkey", 1)}, '协作', chr(10),
+  CASE n_nationkey % 3 WHEN 0 THEN '5 年以上工作经验' WHEN 1 THEN '3 年以上开发经验' ELSE '2年经验' END, chr(10),
+  CASE n_nationkey % 4 WHEN 0 THEN '硕士及以上' WHEN 1 THEN '本科' WHEN 2 THEN '大专' ELSE '不限' END)"""
+#: Signs that the noisy texts get: both engines must read them as literals.
+_NBSP, _ZWSP, _PAGE, _WIDE_A, _COMMA, _FI, _IDEOGRAPHIC, _BOM = map(chr, (0xA0, 0x200B, 0x2EDA, 0xFF21, 0xFF0C, 0xFB01, 0x3000, 0xFEFF))
+NOISY = f"""concat(CASE doc_id % 4 WHEN 0 THEN '{_NBSP}{_ZWSP}' WHEN 1 THEN '{_PAGE}{_WIDE_A}{_COMMA}' WHEN 2 THEN '{_FI}{_IDEOGRAPHIC}' ELSE '' END,
+  replace(text, '. ', CASE doc_id % 3 WHEN 0 THEN concat('.', chr(9), '  ') WHEN 1 THEN concat('. ', chr(10), chr(10), chr(10), chr(10)) ELSE '. ' END), CASE WHEN doc_id % 5 = 0 THEN ' {_BOM}' ELSE '' END)"""
+DAMAGED = """CASE event_id % 10
+  WHEN 1 THEN concat('```json', chr(10), props, chr(10), '```') WHEN 2 THEN concat('Result: ', props, ' done') WHEN 3 THEN replace(props, '}', ' /* c */}') WHEN 4 THEN replace(props, '}', ',}')
+  WHEN 5 THEN replace(props, '"', '''') WHEN 6 THEN replace(props, ':', '：') WHEN 7 THEN replace(props, '}', ', "b": True}') WHEN 8 THEN replace(props, '}', ', "b": "ab') WHEN 9 THEN 'no json' ELSE props END"""
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rows(name: str, table: str, source: str, key: str, columns: Callable[[Column], dict[str, Column]], sql: str | None) -> None:
+    """Register a query of columns over one derived text a row, called ``t``.
+
+    Columns are made when the query runs, as making them needs a session."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _table(spark, sf_dir, table).select(key, F.expr(source).alias("t")).select(key, *(c.alias(n) for n, c in columns(F.col("t")).items()))
+
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLES[name] = f"WITH s AS (SELECT {key}, {source} AS t FROM {table}) {sql}"
+
+
+def _q(pattern: str) -> str:
+    """A Java pattern as a DuckDB string literal."""
+    return "'" + pattern.replace(r"\z", "$").replace("'", "''") + "'"
+
+
+_TRIM = lambda x: f"regexp_replace({x}, {_q(f'^{text.SPACE}+|{text.SPACE}+$')}, '', 'g')"
+_LIT = lambda s: "'" + s.replace("'", "''") + "'"
+
+# --- text normalisation -------------------------------------------------------------------
+_ARTIFACTS = f"regexp_replace(regexp_replace(t, {_q(f'[{text.INVISIBLE}]')}, '', 'g'), {_q(f'[{text.NARROW}]')}, ' ', 'g')"
+for _sign, _letters in text.LIGATURES.items():
+    _ARTIFACTS = f"replace({_ARTIFACTS}, '{_sign}', '{_letters}')"
+_FOLD = lambda x: f"translate({x}, {_LIT(text.COMPAT_FROM)}, {_LIT(text.COMPAT_TO)})"
+_SQUEEZE = lambda x: _TRIM(f"regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), ' ?\n ?', '\n', 'g'), '\n{{3,}}', '\n\n', 'g')")
+_rows("clean_text", "documents", NOISY, "doc_id", lambda T: {"cleaned": text.clean(T)}, f"SELECT doc_id, {_SQUEEZE(_FOLD(_ARTIFACTS))} AS cleaned FROM s")
+_rows("compat_chars", "documents", NOISY, "doc_id", lambda T: {"folded": F.left(text.fold_compat(T), F.lit(40)), "needs": text.needs_folding(T)}, f"SELECT doc_id, left({_FOLD('t')}, 40) AS folded, regexp_matches(t, {_q(f'[{text.COMPAT_SET}]')}) AS needs FROM s")
+_rows("artifact_repair", "documents", NOISY, "doc_id", lambda T: {"repaired": text.repair_artifacts(T)}, f"SELECT doc_id, {_ARTIFACTS} AS repaired FROM s")
+_rows("whitespace_norm", "documents", NOISY, "doc_id", lambda T: {"n": F.length(text.normalize_space(T))}, f"SELECT doc_id, length({_SQUEEZE('t')}) AS n FROM s")
+_rows("utf16_length", "documents", NOISY, "doc_id", lambda T: {"n": text.utf16_length(T)}, "SELECT doc_id, length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10ffff}]', '', 'g')) AS n FROM s")
+
+# --- extraction ---------------------------------------------------------------------------
+_EMAIL = f"nullif(regexp_extract(t, {_q(extract.EMAIL)}), '')"
+_PHONE = f"CASE WHEN regexp_matches(t, {_q(extract.PHONE)}) THEN concat_ws('-', {', '.join(f'regexp_extract(t, {_q(extract.PHONE)}, {k})' for k in (1, 2, 3))}) END"
+_first = lambda values, source="t": "CASE " + " ".join(f"WHEN contains({source}, '{v}') THEN {r}" for v, r in values) + " END"
+_CITY, _DEGREE, _LEVEL = _first((c, f"'{c}'") for c in CITIES), _first((d, f"'{d}'") for d in DEGREES), _first((d, str(n)) for d, n in DEGREES.items())
+_STATED = f"CAST(nullif(regexp_extract(t, {_q(extract.YEARS)}, 1), '') AS INT)"
+_SEEN = f"list_filter(list_transform(regexp_extract_all(t, {_q(extract.YEAR)}, 1), lambda y: CAST(y AS INT)), lambda y: y BETWEEN {extract.FIRST_YEAR} AND {AS_OF})"
+_SPAN = f"({AS_OF} - list_min({_SEEN}))"
+_YEARS = f"coalesce({_STATED}, CASE WHEN {_SPAN} > 0 AND {_SPAN} < {extract.MAX_SPAN} THEN {_SPAN} END)"
+_LINES = f"list_filter(list_transform(string_split(t, chr(10)), lambda x: {_TRIM('x')}), lambda x: x <> '')[1:{extract.NAME_LINES}]"
+_NAME = f"coalesce({_TRIM(f'nullif(regexp_extract(t, {_q(extract.NAME_LABEL)}, 1), {_LIT(str())})')}, list_filter({_LINES}, lambda x: regexp_matches(x, {_q(extract.NAME_LINE)}))[1])"
+_HIT = lambda s: f"contains(lower(t), {_LIT(s.lower())}) AND regexp_matches(t, {_q(extract.skill_pattern(s))})" if s.isascii() else f"contains(t, '{s}')"
+_ALL = "list_filter([" + ", ".join(f"CASE WHEN {_HIT(s)} THEN {_LIT(s)} END" for s in SKILLS) + "], lambda x: x IS NOT NULL)"
+_SKILLS = f"list_filter({_ALL}, lambda x: NOT (x = 'Java' AND {_HIT('JavaScript')}) AND NOT (x = 'Vue' AND {_HIT('Vue.js')}))"
+
+_rows("contact_email", "documents", "text", "doc_id", lambda T: {"email": extract.email(T)}, f"SELECT doc_id, {_EMAIL} AS email FROM s")
+_rows("contact_phone", "documents", "text", "doc_id", lambda T: {"phone": extract.phone(T)}, f"SELECT doc_id, {_PHONE} AS phone FROM s")
+_rows("skill_detect", "customer", RESUME, "c_custkey", lambda T: {"skills": F.array_join(extract.skills(T), ",")}, f"SELECT c_custkey, array_to_string({_SKILLS}, ',') AS skills FROM s")
+_rows("city_first", "customer", RESUME, "c_custkey", lambda T: {"city": extract.city(T)}, f"SELECT c_custkey, {_CITY} AS city FROM s")
+_rows("degree_level", "customer", RESUME, "c_custkey", lambda T: {"degree": extract.degree(T), "level": extract.degree_level(T)}, f"SELECT c_custkey, {_DEGREE} AS degree, {_LEVEL} AS level FROM s")
+_rows("name_detect", "customer", RESUME, "c_custkey", lambda T: {"name": extract.name(T)}, f"SELECT c_custkey, {_NAME} AS name FROM s")
+_rows("experience_years", "customer", RESUME, "c_custkey", lambda T: {"years": extract.years(T, AS_OF)}, f"SELECT c_custkey, {_YEARS} AS years FROM s")
+_RAW_DATE = "CASE o_orderkey % 4 WHEN 0 THEN concat(CAST(1990 + o_orderkey % 40 AS STRING), '年', CAST(1 + o_orderkey % 12 AS STRING), '月') WHEN 1 THEN CAST(2000 + o_orderkey % 20 AS STRING) WHEN 2 THEN concat(CAST(2000 + o_orderkey % 20 AS STRING), ' - ', CAST(o_orderkey % 9 AS STRING)) ELSE 'none' END"
+_DP = "'^([0-9]{4})[^0-9]*([0-9]{1,2})?'"
+_DATE = lambda x: f"CASE WHEN regexp_extract(replace({x}, ' ', ''), {_DP}, 1) = '' THEN {x} WHEN regexp_extract(replace({x}, ' ', ''), {_DP}, 2) = '' THEN regexp_extract(replace({x}, ' ', ''), {_DP}, 1) ELSE concat(regexp_extract(replace({x}, ' ', ''), {_DP}, 1), '.', lpad(regexp_extract(replace({x}, ' ', ''), {_DP}, 2), 2, '0')) END"
+_rows("date_norm", "orders", _RAW_DATE, "o_orderkey", lambda T: {"date": extract.date(T)}, f"SELECT o_orderkey, {_DATE('t')} AS date FROM s")
+
+
+def _education(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(extract.education(F.expr(RESUME))).alias("ord", "e"))
+    return found.select("c_custkey", "ord", "e.*")
+
+
+QUERIES["education_extract"] = _education
+ORACLES["education_extract"] = f"""
+WITH s AS (SELECT c_custkey, {RESUME} AS t FROM customer),
+l AS (SELECT c_custkey, i, string_split(t, chr(10))[i] AS line FROM (SELECT *, unnest(generate_series(1, len(string_split(t, chr(10))))) AS i FROM s)),
+e AS (SELECT c_custkey, i, nullif(regexp_extract(line, {_q(extract.SCHOOL)}, 1), '') AS school, nullif(regexp_extract(line, {_q(extract.MAJOR)}, 1), '') AS major, {_first(((d, f"'{d}'") for d in DEGREES), 'line')} AS degree, regexp_extract_all(line, {_q(extract.DATE)})[-1] AS d FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, school ORDER BY i) AS k FROM e WHERE school IS NOT NULL)
+SELECT c_custkey, ord, school, major, degree, graduation_time FROM (
+  SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY i) - 1 AS INT) AS ord, school, CASE WHEN major <> school THEN major END AS major, degree, CASE WHEN d IS NOT NULL THEN {_DATE("d")} END AS graduation_time FROM f WHERE k = 1) WHERE ord < 5"""
+
+_rows("profile", "customer", RESUME, "c_custkey", lambda T: (lambda P: {"name": P["name"], "phone": P["phone"], "email": P["email"], "city": P["city"], "n_education": F.size(P["education"]), "n_skills": F.size(P["skills"])})(extract.profile(T)),
+      f"SELECT c_custkey, {_NAME} AS name, {_PHONE} AS phone, {_EMAIL} AS email, {_CITY} AS city, CAST((CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 3 = 1 THEN 1 ELSE 0 END) + (CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END) AS INT) AS n_education, CAST(len({_SKILLS}) AS INT) AS n_skills FROM s")
+
+
+# --- matching -----------------------------------------------------------------------------
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(RESUME).alias("t"))
+    jobs = _table(spark, sf_dir, "nation").select("n_nationkey", F.expr(JOB).alias("t"))
+    # One small file must not hold all candidates' pattern work in one task.
+    people = score.candidate_features(people.repartition("c_custkey"), F.col("t"), AS_OF).drop("t")
+    return score.match(score.pairs(people, score.job_features(jobs, F.col("t")).drop("t")))
+
+
+_NUM = lambda x: f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+_R1 = lambda x: f"greatest(0.0, least(100.0, floor(({x}) * 10 + 0.5) / 10.0))"
+_MATCH = f"""
+WITH p AS (SELECT c_custkey, {_SKILLS} AS skills, CAST(coalesce({_YEARS}, 0) AS INT) AS years, coalesce({_LEVEL}, 3) AS level FROM (SELECT c_custkey, {RESUME} AS t FROM customer)),
+j AS (SELECT n_nationkey, {_SKILLS} AS required, coalesce({_STATED}, 3) AS required_years, coalesce({_LEVEL}, 3) AS required_level FROM (SELECT n_nationkey, {JOB} AS t FROM nation)),
+m AS (SELECT *, list_filter(required, lambda x: list_contains(list_transform(skills, lambda y: lower(y)), lower(x))) AS matched, list_filter(required, lambda x: NOT list_contains(list_transform(skills, lambda y: lower(y)), lower(x))) AS missing FROM p, j),
+q AS (SELECT *, CASE WHEN len(required) = 0 THEN 60.0 ELSE {_R1("CAST(len(matched) AS DOUBLE) / len(required) * 100")} END::DOUBLE AS skill_score,
+  CAST({_R1("CAST(70 + CASE WHEN years >= required_years THEN least((years - required_years) * 8, 30) ELSE greatest((years - required_years) * 12, -70) END AS DOUBLE)")} AS DOUBLE) AS experience_score,
+  CAST({_R1("CAST(80 + CASE WHEN level >= required_level THEN least((level - required_level) * 8, 20) ELSE greatest((level - required_level) * 15, -80) END AS DOUBLE)")} AS DOUBLE) AS education_score FROM m),
+r AS (SELECT *, CAST({_R1("skill_score * 0.5::DOUBLE + experience_score * 0.3::DOUBLE + education_score * 0.2::DOUBLE")} AS DOUBLE) AS overall_score FROM q)"""
+
+
+def _pairs_query(name: str, columns: Callable[[], list[Column]], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _scored(spark, sf_dir).select("c_custkey", "n_nationkey", *columns())
+    ORACLES[name] = f"{_MATCH} SELECT c_custkey, n_nationkey, {sql} FROM r"
+
+
+_pairs_query("score_components", lambda: [F.col(c) for c in ("skill_score", "experience_score", "education_score", "overall_score")], "skill_score, experience_score, education_score, overall_score")
+_pairs_query("skill_overlap_semi", lambda: [F.array_join("matched", ",").alias("matched"), F.size("matched").alias("n")], "array_to_string(matched, ',') AS matched, CAST(len(matched) AS INT) AS n")
+_pairs_query("skill_gap_anti", lambda: [F.array_join("missing", ",").alias("missing"), F.size("missing").alias("n")], "array_to_string(missing, ',') AS missing, CAST(len(missing) AS INT) AS n")
+_COMMENT = f"""concat('技能匹配度 ', {_NUM("skill_score")}, ' 分：命中岗位要求 ', CAST(len(matched) AS VARCHAR), '/', CAST(len(required) AS VARCHAR), ' 项技能（', CASE WHEN len(matched) = 0 THEN '{score.NO_HIGHLIGHT}' ELSE array_to_string(matched[1:5], '、') END, '）。',
+  CASE WHEN len(missing) = 0 THEN '{score.COVERED}' ELSE concat('主要差距在于缺少 ', array_to_string(missing[1:5], '、'), ' 等相关经验。') END, '经验与学历维度分别得 ', {_NUM("experience_score")}, ' 分、', {_NUM("education_score")}, ' 分。', '{score.CLOSING}')"""
+_pairs_query("match_comment", lambda: [score.comment().alias("comment")], f"{_COMMENT} AS comment")
+_QUESTIONS = f"""list_concat(list_transform(missing[1:2], lambda x: concat('简历中没有体现 ', x, ' 相关经验，请介绍你对该技术的了解，以及如果项目需要你会如何上手？')),
+  list_filter([CASE WHEN years < required_years THEN concat('岗位期望 ', CAST(required_years AS VARCHAR), ' 年以上经验，你目前约 ', CAST(years AS VARCHAR), ' 年，请举例说明你如何在更短时间内承担同等复杂度的任务？') END, '{score.PROJECT_QUESTION}', CASE WHEN len(missing) = 0 THEN '{score.QUALITY_QUESTION}' END], lambda x: x IS NOT NULL))"""
+_pairs_query("interview_questions", lambda: [F.array_join(score.questions(), "\n").alias("questions")], f"array_to_string({_QUESTIONS}, chr(10)) AS questions")
+_pairs_query("match_report", lambda: [F.col("overall_score"), F.col("skill_score"), score.comment().alias("comment"), F.size(score.questions()).alias("n_questions")], f"overall_score, skill_score, {_COMMENT} AS comment, CAST(len({_QUESTIONS}) AS INT) AS n_questions")
+QUERIES["rank_candidates_per_jd"] = lambda spark, sf_dir: score.rank(_scored(spark, sf_dir), "n_nationkey", "c_custkey", TOP).select("n_nationkey", "rank", "c_custkey", "overall_score")
+ORACLES["rank_candidates_per_jd"] = f"{_MATCH} SELECT n_nationkey, CAST(rank AS INT) AS rank, c_custkey, overall_score FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY overall_score DESC, c_custkey) AS rank FROM r) WHERE rank <= {TOP}"
+
+
+def _skill_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skills of the lexicon as rows: exploded from the array, no join of texts and terms."""
+    found = _table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(extract.skills(F.expr(RESUME))).alias("ord", "skill"))
+    return found.groupBy("skill").agg(F.count("*").alias("candidates"), F.min("c_custkey").alias("first"))
+
+
+QUERIES["skill_detect_join"] = _skill_join
+ORACLES["skill_detect_join"] = f"WITH s AS (SELECT c_custkey, {RESUME} AS t FROM customer) SELECT skill, count(*) AS candidates, min(c_custkey) AS first FROM (SELECT c_custkey, unnest({_SKILLS}) AS skill FROM s) GROUP BY skill"
+
+# --- JSON ---------------------------------------------------------------------------------
+_VALUE = "CASE event_id % 10 WHEN 9 THEN NULL WHEN 7 THEN concat('{\"k\":', n, ',\"b\":true}') ELSE concat('{\"k\":', n, '}') END"
+_LABEL = "CASE event_id % 10 " + " ".join(f"WHEN {k} THEN '{jsonfix.LABELS[v]}'" for k, v in {1: "fence", 2: "fragment", 3: "comments", 4: "commas", 5: "quotes", 6: "fullwidth", 7: "literals", 8: "truncated"}.items()) + " ELSE '' END"
+_NUMBER = "regexp_extract(props, '-?[0-9]+')"
+_rows("json_repair_value", "events", DAMAGED, "event_id", lambda T: {"value": jsonfix.repaired(T)["value"]}, None)
+ORACLES["json_repair_value"] = f"SELECT event_id, {_VALUE} AS value FROM (SELECT event_id, {_NUMBER} AS n FROM events)"
+_rows("json_repair_log", "events", DAMAGED, "event_id", lambda T: {"repairs": F.array_join(jsonfix.repaired(T)["repairs"], ","), "ok": jsonfix.repaired(T)["ok"]}, f"SELECT event_id, {_LABEL} AS repairs, event_id % 10 <> 9 AS ok FROM s")
+
+_PROFILES = [
+    ('{"name": " A ", "email": "bad", "education": {"university": "U", "subject": 3}, "skills": "x, y；z"}', ("A", "bad", 1, "x,y,z", "education 不是数组，已包装为单元素数组;skills 是字符串，已按分隔符拆成 3 项;邮箱格式可能不合法：bad")),
+    ('{"name": null, "education": null, "skills": [1, " ", "q"]}', (None, None, 0, "q", "education 为 null，已置为空数组;skills 中有 2 项不是有效文本，已忽略;未能从简历中提取到姓名;未提取到任何教育经历")),
+    ('{"name": 7, "email": "a@b.c", "education": [5, {"school": ""}], "skills": {"a": 1}}', ("7", "a@b.c", 1, "", "education[0] 不是对象（收到 number），已跳过;skills 的类型不是数组（收到 object），已置为空列表;未提取到任何技能")),
+    ("[1]", (None, None, None, None, "AI_INVALID_SHAPE")),
+    ('{"name":', (None, None, None, None, "AI_INVALID_JSON")),
+]
+_REPORTS = [
+    ('{"overall_score": "85分", "skill_score": 82.75, "experience_score": 120, "education_score": -3, "comment": "ok", "interview_questions": ["a", "b"]}', (85.0, 82.8, 100.0, 0.0, "ok", 2, "overall_score 是字符串（85分），已解析为数值;skill_score 已四舍五入到一位小数;experience_score 为 120，已夹取到上限 100;education_score 为 -3，已夹取到下限 0")),
+    ('{"overall_score": true, "skill_score": 1, "experience_score": 2, "education_score": 3, "reason": " r ", "questions": "p"}', (0.0, 1.0, 2.0, 3.0, "r", 1, "overall_score 不是有效数字，已置为 0")),
+    ('{"skill_score": 1, "experience_score": 2, "education_score": 3}', (0.0, 1.0, 2.0, 3.0, "", 0, 'overall_score 缺失，已置为 0;overall_score 不是有效数字，已置为 0;缺少评分理由（comment），建议在提示词中强调"必须给出理由"')),
+    ('"x"', (None, None, None, None, None, None, "AI_INVALID_SHAPE")),
+]
+
+
+def _values(rows: list[tuple], names: list[str]) -> str:
+    cell = lambda x: "NULL" if x is None else _LIT(x) if isinstance(x, str) else str(x) if isinstance(x, int) else f"CAST({x} AS DOUBLE)"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({', '.join(names)})"
+
+
+def _note(c: Column) -> Column:
+    return F.coalesce(c["error_code"], F.array_join(c["warnings"], ";"))
+
+
+def _coerce_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.createDataFrame([(k, r) for k, (r, _) in enumerate(_PROFILES)], "id int, raw string")
+    p = raw.select("id", jsonfix.coerced_profile(F.col("raw")).alias("p"))
+    c = F.col("p")
+    return p.select("id", c["name"].alias("name"), c["email"].alias("email"), F.when(c["error_code"].isNull(), F.size(c["education"])).alias("n_education"), F.array_join(c["skills"], ",").alias("skills"), _note(c).alias("note"))
+
+
+def _coerce_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.createDataFrame([(k, r) for k, (r, _) in enumerate(_REPORTS)], "id int, raw string")
+    p = raw.select("id", jsonfix.coerced_report(F.col("raw")).alias("p"))
+    c = F.col("p")
+    return p.select("id", *(c[s].alias(s) for s in jsonfix.SCORES), c["comment"].alias("comment"), F.when(c["error_code"].isNull(), F.size(c["interview_questions"])).alias("n_questions"), _note(c).alias("note"))
+
+
+QUERIES |= {"coerce_profile": _coerce_profile, "coerce_report": _coerce_report}
+ORACLES["coerce_profile"] = _values([(k, *e) for k, (_, e) in enumerate(_PROFILES)], ["id", "name", "email", "n_education", "skills", "note"])
+ORACLES["coerce_report"] = _values([(k, *e) for k, (_, e) in enumerate(_REPORTS)], ["id", *jsonfix.SCORES, "comment", "n_questions", "note"])
+
+# --- layout, budgets, display -------------------------------------------------------------
+_RUN = "seq: int, x: double, y: double, width: double, height: double, scale: double, has_eol: boolean, str: string"
+_PAGES = [
+    ([(0, 50.0, 100.0, 20.0, 10.0, 10.0, False, "b"), (1, 10.0, 101.0, 20.0, 10.0, 10.0, False, "a"), (2, 10.0, 80.0, 10.0, 10.0, 10.0, False, "张"), (3, 30.0, 80.0, 10.0, 10.0, 10.0, False, "伟")], "a b|张伟"),
+    ([(0, 0.0, 10.0, 5.0, 0.0, 0.0, False, "x"), (1, 5.0, 10.0, 5.0, 0.0, 0.0, True, "y"), (2, 20.0, 10.0, 5.0, 0.0, 0.0, False, "z"), (3, 0.0, 0.0, 5.0, 0.0, 0.0, False, " ")], "x|y z"),
+]
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(_PAGES)], f"id int, items array<struct<{_RUN}>>")
+    return pages.select("id", F.array_join(layout.lines(F.col("items")), "|").alias("page"))
+
+
+QUERIES["layout_lines"] = _layout
+ORACLES["layout_lines"] = _values([(k, e) for k, (_, e) in enumerate(_PAGES)], ["id", "page"])
+
+_rows("budget_clamp", "documents", "text", "doc_id", lambda T: {"original_chars": text.clamp_input(T, 8000)["original_chars"], "used_chars": text.clamp_input(T, 8000)["used_chars"], "truncated": text.clamp_input(T, 8000)["truncated"], "n": F.length(text.clamp_input(T, 8000)["text"])},
+      "SELECT doc_id, length(t) AS original_chars, least(length(t), 8000) AS used_chars, length(t) > 8000 AS truncated, CASE WHEN length(t) > 8000 THEN 8000 + length(concat(chr(10), chr(10), '[注意：原文共 ', CAST(length(t) AS VARCHAR), ' 字符，因超出单次请求上限，以上仅为前 8000 字符，其余内容已被截断。请只依据已给出的内容作答，不要推测或补全被截断的部分。]')) ELSE length(t) END AS n FROM s")
+
+
+def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 40)).alias("pos", "line"))
+    return lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.left("line", F.lit(60)).alias("line"))
+
+
+QUERIES["line_preview"] = _preview
+ORACLES["line_preview"] = "SELECT doc_id, CAST(i AS INT) AS line_no, left(string_split(text, chr(10))[i], 60) AS line FROM (SELECT doc_id, text, unnest(generate_series(1, least(40, len(string_split(text, chr(10)))))) AS i FROM documents)"
+_WIDTH = lambda x: f"(length(regexp_replace({x}, {_q(f'[{text.ZERO_WIDTH}]')}, '', 'g')) + length(regexp_replace({x}, {_q(f'[^{text.WIDE}]')}, '', 'g')))"
+_rows("display_width", "customer", RESUME, "c_custkey", lambda T: {"width": text.display_width(T)}, f"SELECT c_custkey, {_WIDTH('t')} AS width FROM s")
+_rows("pad_display", "nation", "concat('国', n_name)", "n_nationkey", lambda T: {"padded": text.pad_display(T, 20)}, f"SELECT n_nationkey, concat(t, repeat(' ', greatest(0, 20 - {_WIDTH('t')}))) AS padded FROM s")
+_rows("truncate_display", "nation", "concat(n_name, ' republic')", "n_nationkey", lambda T: {"cut": text.truncate_display(T, 12)}, "SELECT n_nationkey, CASE WHEN length(t) <= 12 THEN t ELSE concat(left(t, 11), '…') END AS cut FROM s")
+_rows("wrap_lines", "nation", "concat(n_name, ' ', n_name, ' abc 张伟，李明。')", "n_nationkey", lambda T: {"n_lines": F.size(wrap.wrap_lines(T, 20)), "joined": F.array_join(wrap.wrap_lines(T, 20), "|")}, None)
+_rows("score_bar", "nation", "CAST(n_nationkey * 4.5 AS DOUBLE)", "n_nationkey", lambda T: {"bar": text.score_bar(F.lit("技能"), T), "band": text.score_band(T)},
+      "SELECT n_nationkey, concat('  技能', repeat(' ', 8), '  ', repeat('█', CAST(floor(least(t, 100) / 100 * 20 + 0.5) AS INT)), repeat('░', 20 - CAST(floor(least(t, 100) / 100 * 20 + 0.5) AS INT)), '  ', format('{:.1f}', CAST(least(t, 100) AS DOUBLE))) AS bar, CASE WHEN t >= 80 THEN 'green' WHEN t >= 60 THEN 'yellow' ELSE 'red' END AS band FROM s")
+_rows("format_bytes", "orders", "o_orderkey * o_orderkey % 5000000", "o_orderkey", lambda T: {"size": text.format_bytes(T)}, "SELECT o_orderkey, CASE WHEN t < 1024 THEN concat(CAST(t AS VARCHAR), ' B') WHEN t < 1048576 THEN concat(format('{:.1f}', floor(t / 1024.0::DOUBLE * 10 + 0.5) / 10), ' KB') ELSE concat(format('{:.1f}', floor(t / 1048576.0::DOUBLE * 10 + 0.5) / 10), ' MB') END AS size FROM s")
+_INTS = "CASE o_orderkey % 5 WHEN 0 THEN concat(' +', CAST(o_orderkey AS STRING), ' ') WHEN 1 THEN concat('-', CAST(o_orderkey AS STRING)) WHEN 2 THEN '12abc' WHEN 3 THEN '99999999999999999' ELSE CAST(o_orderkey AS STRING) END"
+_rows("positive_int", "orders", _INTS, "o_orderkey", lambda T: {"n": text.positive_int(T)}, "SELECT o_orderkey, CASE WHEN o_orderkey > 0 AND o_orderkey % 5 IN (0, 4) THEN o_orderkey END AS n FROM s")
+_rows("mask_key", "nation", "concat('sk-', n_name)", "n_nationkey", lambda T: {"masked": text.mask_key(T), "url": text.base_url(F.concat(T, F.lit("//")))}, "SELECT n_nationkey, CASE WHEN length(t) > 8 THEN concat(left(t, 4), '****', right(t, 4)) ELSE '****' END AS masked, t AS url FROM s")
+_ENV = "concat('# c', chr(10), 'export A=\"', n_name, '\"', chr(10), 'B = x=y', chr(10), 'A=', CAST(n_nationkey AS STRING))"
+_rows("dotenv", "nation", _ENV, "n_nationkey", lambda T: {"a": text.dotenv(T)["A"], "b": text.dotenv(T)["B"]}, "SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) AS a, 'x=y' AS b FROM s")
+
+# --- errors, files, events ----------------------------------------------------------------
+_CODES = [*files.EXIT_CODES, "OTHER"]
+_CODE = "CASE event_id % 14 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CODES)) + " END"
+_rows("error_exit_codes", "events", _CODE, "event_id", lambda T: {"exit_code": files.exit_code(T)}, "SELECT event_id, CASE WHEN t IS NULL THEN 0 " + " ".join(f"WHEN t = '{c}' THEN {n}" for c, n in files.EXIT_CODES.items()) + " ELSE 1 END AS exit_code FROM s")
+_JD = f"CASE doc_id % 4 WHEN 0 THEN '   ' WHEN 1 THEN repeat('{chr(0xFFFD)}', 9) WHEN 2 THEN NULL ELSE text END"
+_rows("jd_validate", "documents", _JD, "doc_id", lambda T: {"error_code": files.jd_error(T, F.octet_length(T))}, "SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN 'JD_EMPTY' WHEN doc_id % 4 = 2 THEN 'JD_FILE_NOT_FOUND' WHEN trim(t) = '' THEN 'JD_EMPTY' END AS error_code FROM s")
+_PDF = "CASE doc_id % 3 WHEN 0 THEN concat('%PDF-1.7', text) WHEN 1 THEN '' ELSE text END"
+_rows("pdf_validate", "documents", _PDF, "doc_id", lambda T: {"error_code": files.pdf_error(F.octet_length(T), T.cast("binary"))}, "SELECT doc_id, CASE WHEN t = '' THEN 'PDF_UNREADABLE' WHEN NOT contains(left(t, 1024), '%PDF-') THEN 'NOT_A_PDF' END AS error_code FROM s")
+_rows("http_retry_class", "events", "CAST(400 + event_id % 110 AS INT)", "event_id", lambda T: {"retryable": files.retryable(T)}, f"SELECT event_id, t IN {files.RETRYABLE} AS retryable FROM s")
+_rows("log_filter", "events", "CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warn' WHEN 2 THEN 'info' ELSE 'debug' END", "event_id", lambda T: {"shown": files.visible(T, "info")}, "SELECT event_id, t <> 'debug' AS shown FROM s")
+
+CALLS = """SELECT user_id AS call_id, event_id AS seq, CASE WHEN event_id % 41 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'turn.completed' ELSE 'item.completed' END AS type,
+  CASE WHEN event_id % 3 <> 0 THEN props END AS text, event_id % 100 AS input_tokens, event_id % 7 AS output_tokens"""
+
+
+def _fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.fold(_table(spark, sf_dir, "events").selectExpr(*re.split(r",\s+(?=CASE|event_id AS|event_id %)", CALLS.removeprefix("SELECT "))))
+
+
+QUERIES["event_fold"] = _fold
+ORACLES["event_fold"] = f"""WITH e AS ({CALLS} FROM events),
+g AS (SELECT call_id, arg_max(text, seq) FILTER (type = 'item.completed' AND text IS NOT NULL) AS content, bool_or(type = 'turn.completed') AS done, bool_or(type IN ('turn.failed', 'error')) AS failed, arg_max(input_tokens + output_tokens, seq) FILTER (type = 'turn.completed') AS tokens FROM e GROUP BY call_id)
+SELECT *, done AND NOT failed AND coalesce(content, '') <> '' AS success FROM g"""
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
