@@ -38,7 +38,7 @@ from parchmill.llm.textbuf import ALNUM, LOWER, mix, sliced, spans
 #: Training documents at most of each label, by smallest xxhash64(doc_id).
 SAMPLE = 2500
 #: Bytes of all training texts at most; documents beyond it are left out of training whole.
-SAMPLE_BYTES = 10 << 20
+SAMPLE_BYTES = 6 << 20
 PRECISION, CHANCE = 0.97, 0.1
 WINDOW = 32
 BUCKETS = 1 << 18
