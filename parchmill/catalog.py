@@ -179,7 +179,8 @@ ORACLES["rank_candidates_per_jd"] = f"{_MATCH} SELECT n_nationkey, CAST(rank AS
 
 def _skill_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The skills of the lexicon as rows: exploded from the array, no join of texts and terms."""
-    found = _table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(extract.skills(F.expr(RESUME))).alias("ord", "skill"))
+    people = _table(spark, sf_dir, "customer").repartition("c_custkey").select("c_custkey", extract.skills(F.expr(RESUME)).alias("skills"))
+    found = people.select("c_custkey", F.explode("skills").alias("skill"))
     return found.groupBy("skill").agg(F.count("*").alias("candidates"), F.min("c_custkey").alias("first"))
 
 
