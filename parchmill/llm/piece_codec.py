@@ -130,7 +130,7 @@ class PieceModel:
         key = a, b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             found = self.pairs[key] = self._merge(self.pieces[a] + self.pieces[b]) == [a, b]
         return found
@@ -288,7 +288,6 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 n_bytes = pa.array([int(byte[r].sum()) for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), first, pa.array(counts), n_bytes, pa.array(back)], names=["doc_id", "ids_crc32" if digests else "ids", "n_pieces", "n_byte_pieces", "round_trip"])
         _parts(model_path).forget()
-        model.pairs.clear()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
