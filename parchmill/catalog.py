@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.functions import extract, jsonfix, text, wrap
+from parchmill.functions import extract, jsonfix, render, settings, text, wrap
 from parchmill.functions.lexicon import CITIES, DEGREES, SKILLS
 from parchmill.operators import layout, score
+from parchmill.plans import commands
 from parchmill.sources import files
 from parchmill.streaming import events
 
@@ -179,8 +180,9 @@ ORACLES["rank_candidates_per_jd"] = f"{_MATCH} SELECT n_nationkey, CAST(rank AS
 
 def _skill_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The skills of the lexicon as rows: exploded from the array, no join of texts and terms."""
-    people = _table(spark, sf_dir, "customer").repartition("c_custkey").select("c_custkey", extract.skills(F.expr(RESUME)).alias("skills"))
-    found = people.select("c_custkey", F.explode("skills").alias("skill"))
+    people = _table(spark, sf_dir, "customer").repartition("c_custkey").select("c_custkey", F.expr(RESUME).alias("t"))
+    # An outer explode: an inner one infers a filter on the array, which doubles the pattern work.
+    found = people.select("c_custkey", F.explode_outer(extract.skills(F.col("t"))).alias("skill")).where("skill IS NOT NULL")
     return found.groupBy("skill").agg(F.count("*").alias("candidates"), F.min("c_custkey").alias("first"))
 
 
@@ -303,6 +305,76 @@ g AS (SELECT call_id, arg_max(text, seq) FILTER (type = 'item.completed' AND tex
 SELECT *, done AND NOT failed AND coalesce(content, '') <> '' AS success FROM g"""
 
 
+# --- settings, renderings, commands -------------------------------------------------------
+_rows("snippet", "documents", "text", "doc_id", lambda T: {"cut": text.snippet(T, 200)}, f"SELECT doc_id, regexp_replace(left(t, 200), {_q(text.SPACE + '+')}, ' ', 'g') AS cut FROM s")
+_rows("empty_text", "documents", "CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'abc' ELSE text END", "doc_id", lambda T: {"suspected": files.suspected_scan(T, F.lit(1)), "error_code": files.text_error(T, F.lit(1))}, "SELECT doc_id, length(t) < 30 AS suspected, CASE WHEN t = '' THEN 'PDF_EMPTY_TEXT' END AS error_code FROM s")
+_rows("lenient_int", "orders", _INTS, "o_orderkey", lambda T: {"n": settings.lenient_int(T, 7)}, "SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 7 WHEN o_orderkey % 5 = 1 THEN 7 WHEN o_orderkey % 5 = 2 THEN 12 WHEN o_orderkey % 5 = 3 THEN 99999999999999999 ELSE o_orderkey END AS n FROM s")
+_rows("setting_precedence", "nation", "CASE n_nationkey % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'bad' END", "n_nationkey", lambda T: (lambda p: {"provider": p, "error_code": settings.provider_error(p, F.lit(None)), "url": settings.endpoint(F.concat(p, F.lit("//")), "chat/completions")})(settings.first_set(T, F.lit("openai"))),
+      "SELECT n_nationkey, coalesce(t, 'openai') AS provider, CASE WHEN coalesce(t, 'openai') <> 'codex' THEN 'CONFIG_MISSING' END AS error_code, concat(coalesce(t, 'openai'), '/chat/completions') AS url FROM s")
+_rows("retry_backoff", "events", "CAST(event_id % 4 AS INT)", "event_id", lambda T: {"least": settings.backoff_ms(T)["least"], "most": settings.backoff_ms(T)["most"]}, "SELECT event_id, CAST(400 * pow(2, t) AS BIGINT) AS least, CAST(400 * pow(2, t) + 199 AS BIGINT) AS most FROM s")
+_rows("indent_hint", "nation", "concat(n_name, chr(10), 'b')", "n_nationkey", lambda T: {"hint": settings.indented(T)}, "SELECT n_nationkey, concat('      ', replace(t, chr(10), concat(chr(10), '      '))) AS hint FROM s")
+_rows("email_plausible", "events", "CASE event_id % 4 WHEN 0 THEN 'a@b.c' WHEN 1 THEN 'bad' WHEN 2 THEN 'a b@c.d' ELSE 'a@b' END", "event_id", lambda T: {"plausible": settings.plausible_email(T)}, "SELECT event_id, event_id % 4 = 0 AS plausible FROM s")
+_rows("prompt_budget", "documents", "text", "doc_id", lambda T: {"n": F.length(settings.prompt("Read:", {"A": text.clamp_input(T, 20000)["text"], "B": F.left(T, F.lit(5))})), "head": F.left(settings.prompt("Read:", {"A": T}), F.lit(20))},
+      f"SELECT doc_id, 27 + length(left(t, 5)) + CASE WHEN length(t) > 20000 THEN 20000 + length(concat(chr(10), chr(10), '[注意：原文共 ', CAST(length(t) AS VARCHAR), ' 字符，因超出单次请求上限，以上仅为前 20000 字符，其余内容已被截断。请只依据已给出的内容作答，不要推测或补全被截断的部分。]')) ELSE length(t) END AS n, left(concat('Read:', chr(10), 'A <<<', chr(10), t, chr(10), '>>>'), 20) AS head FROM s")
+_rows("metadata", "nation", """CASE n_nationkey % 3 WHEN 0 THEN concat('{"Title": "', n_name, '", "Author": 3}') WHEN 1 THEN '{"Creator": null, "CreationDate": "D:2020"}' ELSE 'broken' END""", "n_nationkey", lambda T: (lambda m: {"title": m["title"], "author": m["author"], "created": m["creationDate"]})(commands.metadata(T)),
+      "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN regexp_extract(t, '\"Title\": \"([^\"]*)\"', 1) END AS title, CAST(NULL AS VARCHAR) AS author, CASE WHEN n_nationkey % 3 = 1 THEN 'D:2020' END AS created FROM s")
+_rows("preview_lines", "documents", "text", "doc_id", lambda T: (lambda p: {"shown": F.array_join(p["lines"], "\n"), "omitted": p["omitted"]})(render.preview(T, 5, 60)),
+      "SELECT doc_id, array_to_string(list_transform(generate_series(1, least(5, len(l))), lambda i: concat('  ', rpad(CAST(i AS VARCHAR), CAST(length(CAST(len(l) AS VARCHAR)) AS INT), ' '), ' │ ', CASE WHEN length(l[i]) <= 60 THEN l[i] ELSE concat(left(l[i], 59), '…') END)), chr(10)) AS shown, CAST(greatest(len(l) - 5, 0) AS INT) AS omitted FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM s)")
+
+_SHOWN = [
+    ("Java,C++,Python", [("U", None, "本科", "2018.06"), ("", None, None, None)], "  Java  C++|  Python", "  1. U · 本科  2018.06|  2. (信息缺失)", "  大小  3|  b     x"),
+    ("", [], "  未提取到技能", "  未提取到教育经历", "  大小  0|  b     x"),
+]
+
+
+def _render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, [s for s in r[0].split(",") if s], r[1]) for k, r in enumerate(_SHOWN)], "id int, had array<string>, went array<struct<school: string, major: string, degree: string, graduation_time: string>>")
+    listed = render.facts({"大小": F.size("had"), "none": F.lit(None), "empty": F.lit(""), "b": F.lit("x")})
+    return rows.select("id", *(F.array_join(c, "|").alias(n) for n, c in {"skills": render.skill_lines(F.col("had"), 10), "schools": render.school_lines(F.col("went")), "facts": listed}.items()))
+
+
+QUERIES["render_profile"] = _render
+ORACLES["render_profile"] = _values([(k, *r[2:]) for k, r in enumerate(_SHOWN)], ["id", "skills", "schools", "facts"])
+
+
+def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame([(f"p{k}", 100 + k, [p, p], '{"Title": "T"}') for k, (p, _) in enumerate(_PAGES)] + [("none", 5, [], None)], f"path string, bytes long, pages array<array<struct<{_RUN}>>>, info string")
+    return commands.parse(docs).select("path", "bytes", "pages", "chars", F.col("metadata.title").alias("title"), F.col("suspectedScanned").alias("suspected"), "text", "error_code")
+
+
+QUERIES["parse_command"] = _parse
+_PAGE_TEXTS = [p.replace("|", "\n") for _, p in _PAGES]
+ORACLES["parse_command"] = (
+    " UNION ALL ".join(f"SELECT 'p{k}' AS path, {100 + k} AS bytes, 2 AS pages, {2 * len(p) + 2} AS chars, 'T' AS title, true AS suspected, concat({_LIT(p)}, chr(10), chr(10), {_LIT(p)}) AS text, NULL AS error_code" for k, p in enumerate(_PAGE_TEXTS))
+    + " UNION ALL SELECT 'none', 5, 0, 0, NULL, false, '', 'PDF_EMPTY_TEXT'"
+)
+_CONTENT = """CASE WHEN c_custkey % 8 = 0 THEN concat('```json', chr(10), '{"name": "N', CAST(c_custkey AS STRING), '", "skills": ["a", "b"],}', chr(10), '```') ELSE 'no json' END"""
+
+
+def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = _table(spark, sf_dir, "customer")
+    responses = people.where("c_custkey % 4 = 0").select("c_custkey", F.expr(_CONTENT).alias("content"))
+    out = commands.extract(people.select("c_custkey", F.expr(RESUME).alias("t")), responses, id_col="c_custkey", text_col="t")
+    return out.select("c_custkey", "source", F.col("result.name").alias("name"), F.array_join("result.skills", ",").alias("skills"), F.size("repairs").alias("n_repairs"), "error_code")
+
+
+QUERIES["extract_command"] = _extract
+ORACLES["extract_command"] = f"SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'model' ELSE 'rules' END AS source, CASE c_custkey % 8 WHEN 0 THEN concat('N', CAST(c_custkey AS VARCHAR)) WHEN 4 THEN NULL ELSE {_NAME} END AS name, CASE c_custkey % 8 WHEN 0 THEN 'a,b' WHEN 4 THEN NULL ELSE array_to_string({_SKILLS}, ',') END AS skills, CAST(CASE WHEN c_custkey % 8 = 0 THEN 2 ELSE 0 END AS INT) AS n_repairs, CASE WHEN c_custkey % 8 = 4 THEN 'AI_INVALID_JSON' END AS error_code FROM (SELECT c_custkey, {RESUME} AS t FROM customer)"
+_ANSWER = '{"overall_score": 88.04, "skill_score": 90, "experience_score": 85, "education_score": 80, "comment": "ok", "interview_questions": ["q"]}'
+
+
+def _score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _scored(spark, sf_dir)
+    responses = _table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select("c_custkey", F.lit(1).cast(pairs.schema["n_nationkey"].dataType).alias("n_nationkey"), F.lit(_ANSWER).alias("content"))
+    out = commands.score(pairs, responses, keys=("c_custkey", "n_nationkey"))
+    return out.select("c_custkey", "n_nationkey", "source", F.col("result.overall_score").alias("overall_score"), F.col("result.comment").alias("comment"), F.size("result.interview_questions").alias("n_questions"), "error_code")
+
+
+QUERIES["score_command"] = _score
+_BY_MODEL = "c_custkey % 4 = 0 AND n_nationkey = 1"
+ORACLES["score_command"] = f"{_MATCH} SELECT c_custkey, n_nationkey, CASE WHEN {_BY_MODEL} THEN 'model' ELSE 'rules' END AS source, CASE WHEN {_BY_MODEL} THEN 88.0::DOUBLE ELSE overall_score END AS overall_score, CASE WHEN {_BY_MODEL} THEN 'ok' ELSE {_COMMENT} END AS comment, CAST(CASE WHEN {_BY_MODEL} THEN 1 ELSE len({_QUESTIONS}) END AS INT) AS n_questions, CAST(NULL AS VARCHAR) AS error_code FROM r"
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

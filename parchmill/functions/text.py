@@ -22,6 +22,7 @@ ANSI = "\x1b\\[[0-9;]*m"
 # End of the fixed values.
 
 SPACE = f"[{SPACE_SET}]"
+NARROW_ONLY = r"^[\x20-\x7e\u00a1-\u00ac\u00ae-\u02ff]*\z"
 COMPAT_FROM, COMPAT_TO = compat_table()
 
 
@@ -98,7 +99,10 @@ def truncate_display(c: Column, width: int) -> Column:
         full = acc["full"] | (acc["used"] + size > width - 1)
         return F.struct(F.when(full, acc["out"]).otherwise(F.concat(acc["out"], char)).alias("out"), F.when(full, acc["used"]).otherwise(acc["used"] + size).alias("used"), full.alias("full"))
 
-    return F.when(display_width(c) <= width, c).otherwise(F.concat(F.aggregate(chars, start, step)["out"], F.lit("…")))
+    # Texts of one cell a character need no fold.
+    narrow = F.when(F.length(c) <= width, c).otherwise(F.concat(F.left(c, F.lit(width - 1)), F.lit("…")))
+    folded = F.when(display_width(c) <= width, c).otherwise(F.concat(F.aggregate(chars, start, step)["out"], F.lit("…")))
+    return F.when(c.rlike(NARROW_ONLY), narrow).otherwise(folded)
 
 
 def score_bar(label: Column, score: Column, segments: int = 20) -> Column:

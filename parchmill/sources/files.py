@@ -31,7 +31,8 @@ def pdf_error(length: Column, head: Column) -> Column:
 
 
 def scan_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, content, error_code of each file; oversized files are not read."""
+    """path, bytes, content, error_code of each file; oversized files are not read.  Spark's file
+    index leaves empty files out, so these have no row."""
     files = spark.read.format("binaryFile").load(path)
     small = files.where(F.col("length") <= MAX_PDF_BYTES).select("path", F.col("length").alias("bytes"), "content", pdf_error(F.col("length"), F.col("content")).alias("error_code"))
     large = files.where(F.col("length") > MAX_PDF_BYTES).select("path", F.col("length").alias("bytes"), F.lit(None).cast("binary").alias("content"), F.lit("PDF_UNREADABLE").alias("error_code"))
@@ -53,7 +54,7 @@ def jd_error(text: Column, size: Column) -> Column:
 
 
 def scan_jds(spark: SparkSession, path: str) -> DataFrame:
-    """path, text (trimmed), chars, error_code of each text file."""
+    """path, text (trimmed), chars, error_code of each text file; empty files have no row."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", F.decode("content", "UTF-8").alias("raw"))
     return files.select("path", trim(F.col("raw")).alias("text"), F.length(trim(F.col("raw"))).alias("chars"), jd_error(F.col("raw"), F.col("length")).alias("error_code"))
 
