@@ -11,8 +11,8 @@ of the labelled tokens by full-batch gradient steps on the conditional log-likel
 
 Scoring.  Whole texts, of any length: emission scores are computed once a distinct word; forward
 and backward messages of all tokens of a slice are computed at once by a blocked scan of 2 x 2
-matrices, which is exact and starts anew at each text.  The marginals' maximum, sum and mean are
-aggregated by a logistic layer, fitted on the sample, to the document's score; tokens above
+matrices, which is exact and starts anew at each text.  The marginals' maximum, log sum and log
+rate a thousand words are aggregated by a logistic layer, fitted on the sample, to the document's score; tokens above
 ``TAG`` are the offending spans, with byte offsets.
 
 Defined results: a null or wordless text is scored with zero aggregates.  Null labels are no
@@ -92,7 +92,7 @@ class ToxicTagger:
     def aggregate(self, p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         top, total = np.zeros(n), np.bincount(row, p, n)
         np.maximum.at(top, row, p)
-        return np.stack([np.ones(n), top, np.log1p(total), total / np.maximum(np.bincount(row, minlength=n), 1)], axis=1)
+        return np.stack([np.ones(n), top, np.log1p(total), np.log1p(1000 * total / np.maximum(np.bincount(row, minlength=n), 1))], axis=1)
 
     def score(self, p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         if not self.layer.any():
