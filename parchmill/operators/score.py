@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from parchmill.functions import extract
 from parchmill.functions.text import number_text, round1
 
-#: Job descriptions that may be broadcast; more are joined by blocks.
+#: Job descriptions that may be broadcast, and their bytes as JSON; more are joined by blocks.
 MAX_BROADCAST_JOBS = 10_000
+MAX_BROADCAST_BYTES = 32 << 20
 # The scoring rule's constants and sentences.
 NO_SKILLS_SCORE, DEFAULT_YEARS, DEFAULT_LEVEL = 60.0, 3, 3
 NO_HIGHLIGHT = "暂未识别到与岗位直接对应的技能"
@@ -29,16 +30,20 @@ def job_features(jobs: DataFrame, text: Column) -> DataFrame:
     return jobs.select("*", extract.skills(text).alias("required"), F.coalesce(extract.stated_years(text), F.lit(DEFAULT_YEARS)).alias("required_years"), F.coalesce(extract.degree_level(text), F.lit(DEFAULT_LEVEL)).alias("required_level"))
 
 
-def pairs(people: DataFrame, jobs: DataFrame, max_broadcast: int = MAX_BROADCAST_JOBS, block: int = 1000) -> DataFrame:
+def pairs(people: DataFrame, jobs: DataFrame, max_broadcast: int = MAX_BROADCAST_JOBS, max_bytes: int = MAX_BROADCAST_BYTES, block: int = 1000) -> DataFrame:
     """Each candidate with each job description: the jobs are the query set.  They are broadcast
-    up to a checked count; beyond it both sides meet by blocks of jobs."""
-    count = jobs.count()
-    if count <= max_broadcast:
+    up to a checked count and size.  Beyond it both sides meet by blocks of jobs, and candidates
+    are salted, so that no task holds all candidates of a block."""
+    found = jobs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    if found["n"] <= max_broadcast and found["size"] <= max_bytes:
         return people.crossJoin(F.broadcast(jobs))
-    blocks = -(-count // block)
-    left = people.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = jobs.withColumn("_block", F.pmod(F.xxhash64(*jobs.columns), F.lit(blocks)).cast("int"))
-    return left.join(right, "_block").drop("_block")
+    blocks = max(-(-found["n"] // block), -(-found["size"] // max_bytes))
+    salts = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    left = people.withColumn("_salt", dealt(people, salts)).withColumn("_block", every(blocks))
+    right = jobs.withColumn("_block", dealt(jobs, blocks)).withColumn("_salt", every(salts))
+    return left.join(right, ["_block", "_salt"]).drop("_block", "_salt")
 
 
 def _clamp(c: Column) -> Column:

@@ -56,8 +56,17 @@ def test_scores(spark):
     paired = score.pairs(score.candidate_features(people, F.col("t"), 2025).drop("t"), score.job_features(jobs, F.col("t")).drop("t"))
     r = score.match(paired).first()
     assert (r.skill_score, r.experience_score, r.education_score, r.overall_score) == (42.9, 100.0, 80.0, 67.5)
-    blocked = score.pairs(people, jobs, max_broadcast=0)
-    assert blocked.count() == 1
+    assert score.pairs(people, jobs, max_broadcast=0).count() == 1
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_broadcast": 4, "block": 2}, {"max_bytes": 20}])
+def test_pairs_whole(spark, limits):
+    people = spark.createDataFrame([(k % 6, None if k == 3 else "x") for k in range(7)], "p int, t string")  # one row twice
+    jobs = spark.createDataFrame([(k, None if k == 2 else "y") for k in range(5)], "j int, u string")
+    got = score.pairs(people, jobs, **limits)
+    assert got.columns == ["p", "t", "j", "u"]
+    assert sorted((r.p, r.j) for r in got.collect()) == sorted((k % 6, j) for k in range(7) for j in range(5))
+    assert score.pairs(people.limit(0), jobs, **limits).count() == score.pairs(people, jobs.limit(0), **limits).count() == 0
 
 
 def test_wrap_loses_nothing():
