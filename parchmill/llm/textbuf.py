@@ -159,12 +159,17 @@ def word_array(buf: np.ndarray, off: np.ndarray, table: np.ndarray, cuts: np.nda
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))), row
 
 
+#: Characters of a word that ``WordCodec`` keeps, at most.
+LONGEST = 64
+
+
 class WordCodec:
     """Token ids of words, each distinct word encoded once.
 
     ``encode`` maps a list of words to (ids of all words, one after the other; number of
     ids of each word).  Words already met are kept, up to ``keep`` of them, for the next
-    slices of the same task; ``forget`` gives the memory back at its end.
+    slices and tasks of the same worker; ``forget`` gives the memory back.  Words over
+    ``LONGEST`` characters aren't kept, so the memory is bounded in bytes too.
     """
 
     def __init__(self, encode, keep: int = 150_000):
@@ -185,8 +190,11 @@ class WordCodec:
             for w, end in zip(new, ends):
                 known[w] = data[at:end]
                 at = end
-        self.known = known if len(known) <= self.keep else {}
         got = [known[w] for w in words]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        self.known = known if len(known) <= self.keep else {}
         return np.frombuffer(b"".join(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)) >> 2
 
     def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -181,7 +181,6 @@ def write(docs: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", tex
             if file is not None:
                 file.__exit__(type(error), error, None)
             raise
-        codec.forget()
         if writer is not None:
             size = writer.close()
             file.__exit__(None, None, None)

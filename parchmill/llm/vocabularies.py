@@ -72,7 +72,7 @@ def hugging_words(path: str) -> WordCodec:
             counts.append(sizes)
         return np.concatenate(flats), np.concatenate(counts)
 
-    return WordCodec(encode)
+    return WordCodec(encode, keep=400_000)
 
 
 @functools.lru_cache(maxsize=2)
