@@ -35,6 +35,8 @@ from parchmill.llm.textbuf import LOWER, sliced, word_array
 MAGIC = b"PLANES01"
 END_ID = 1
 BLOCK = 1 << 15
+#: Text encoded at a time: a slice's distinct words are looked up once.
+SLICE_BYTES = 2 << 20
 #: Decoded ids held at a time when documents are cut out of blocks.
 READ_ROWS = 2000
 
@@ -162,7 +164,7 @@ def write(docs: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", tex
         file = None
         try:
             for batch in batches:
-                for lo, hi, buf, off in sliced(batch.column(1)):
+                for lo, hi, buf, off in sliced(batch.column(1), SLICE_BYTES):
                     if writer is None:
                         file = storage.AtomicFile(path)
                         writer = PlaneWriter(file.__enter__(), unit, block)
