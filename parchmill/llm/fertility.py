@@ -4,8 +4,16 @@ Base rules count words, symbols, repeated lines and repeated 3-word windows.  Th
 rule measures how public vocabularies split a document's words: characters per token under a
 byte-level BPE and under a SentencePiece model, the share of byte-fallback tokens, and the
 entropy of the token distribution relative to the largest a text of that many tokens can have.
-Each measure has a band per language, or per script where the language has none; a document
-outside a band is rejected.  Words are encoded once for each distinct word and worker.
+A document outside a band of its language, or of its script where the language has none, is
+rejected.  Words are encoded once for each distinct word and worker.
+
+Bands come from the table itself: documents that pass the base rules are counted by language,
+length class (powers of two of the number of pieces, as entropy depends on it) and binned
+measure; a band reaches ``SPREAD`` interquartile ranges beyond the quartiles, at least ``SLACK``.
+All documents are counted, none is sampled, and the counts don't depend on the partitioning.
+A class of fewer than ``MIN_DOCS`` documents takes the bands of its whole language; a language
+of fewer has only the fixed ``BANDS``, which hold besides the derived ones everywhere.  Each
+document is measured once: measures are written before the counts are taken.
 
 Defined results: a null text has no words and fails the base rules.  A null or unknown language
 falls back to the script of most letters (latin, other).  Documents below ``MIN_TOKENS`` tokens
@@ -20,16 +28,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from parchmill.llm import vocabularies
+from parchmill.llm import storage, vocabularies
 from parchmill.llm.features import ALPHA, HEAD, Counts
 from parchmill.llm.textbuf import SPACED, sliced, sums, word_array
 
 MIN_WORDS = 50
 MIN_TOKENS = 50
 MEASURES = ("piece_chars", "byte_chars", "fallback", "entropy")
-#: (least, most) of each measure by language, then by script.  Wide on purpose: a rule drops what
-#: no prose of the language looks like, and a classifier may go further.
+SPREAD = 2.0
+#: The least reach of a band beyond its quartiles, where these lie close together.
+SLACK = {"piece_chars": 0.05, "byte_chars": 0.05, "fallback": 0.02, "entropy": 0.02}
+MIN_DOCS = 100
+BIN, TOP = 0.001, 8.0
+#: Length classes: the whole log2 of the number of pieces, within these.
+SHORT, LONG = 5, 12
+#: (least, most) of each measure by language, then by script: what no prose of the language looks
+#: like, whatever the table holds.
 def _band(byte_least: float, piece_least: float = 1.35) -> dict[str, tuple[float, float]]:
     return {"piece_chars": (piece_least, 7.0), "byte_chars": (byte_least, 7.5), "fallback": (0.0, 0.02), "entropy": (0.6, 1.0)}
 
@@ -60,11 +76,12 @@ def _measures(counts: Counts, piece_path: str, byte_path: str) -> dict[str, np.n
     return {"n_pieces": n_pieces.astype(np.int64), "piece_chars": counts.word_chars / tokens, "byte_chars": counts.word_chars / np.maximum(n_bytes_tokens, 1), "fallback": fallback / tokens, "entropy": np.minimum(entropy / top, 1.0)}
 
 
-def _bounds(lang: list, counts: Counts, bands: dict) -> dict[str, np.ndarray]:
+def _bounds(lang: list, counts: Counts, bands: dict) -> tuple[list[str], dict[str, np.ndarray]]:
+    """The name of each row's bands, and their fixed limits."""
     letters = sums(ALPHA[counts.buf], counts.off)
     beyond = sums(HEAD[counts.buf] * (counts.buf >= 0xCA), counts.off)  # first bytes from U+0280 on
     names = [x if x in bands else "latin" if a >= b else "other" for x, a, b in zip(lang, letters.tolist(), beyond.tolist())]
-    return {m: np.array([bands[x][m] for x in names]).reshape(-1, 2) for m in MEASURES}
+    return names, {m: np.array([bands[x][m] for x in names]).reshape(-1, 2) for m in MEASURES}
 
 
 def _forget(piece_path: str, byte_path: str) -> None:
@@ -73,38 +90,90 @@ def _forget(piece_path: str, byte_path: str) -> None:
 
 
 def _judge(column, lang: list, bands: dict, piece_path: str, byte_path: str):
+    """Counts, measures and the rule of each slice: the columns of ``RULE``."""
     for lo, hi, buf, off in sliced(column):
         counts = Counts(buf, off)
         measured = _measures(counts, piece_path, byte_path)
         base_failed = (counts.n_words < MIN_WORDS) | (100 * counts.n_repeat_words > 50 * counts.n_words)
+        names, bounds = _bounds(lang[lo:hi], counts, bands)
         inside = np.ones(hi - lo, bool)
-        for m, bound in _bounds(lang[lo:hi], counts, bands).items():
+        for m, bound in bounds.items():
             inside &= (measured[m] >= bound[:, 0]) & (measured[m] <= bound[:, 1])
-        yield lo, hi, counts, measured, base_failed, ~base_failed & (inside | (measured["n_pieces"] < MIN_TOKENS))
-
-
-def measure(docs: DataFrame, piece_path: str, byte_path: str, bands: dict = BANDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+        size = np.clip(np.log2(np.maximum(measured["n_pieces"], 1)).astype(np.int32), SHORT, LONG)
+        rule = [pa.array(names, pa.string()), pa.array(size, pa.int32()), pa.array(inside), pa.array(base_failed), *(pa.array(measured[m]) for m in ("n_pieces", *MEASURES))]
+        yield lo, hi, counts, pa.StructArray.from_arrays(rule, names=RULE_NAMES)
+
+
+RULE = f"struct<band: string, size: int, inside: boolean, base_failed: boolean, n_pieces: long, {', '.join(f'{m}: double' for m in MEASURES)}>"
+RULE_NAMES = ["band", "size", "inside", "base_failed", "n_pieces", *MEASURES]
+
+
+def derive(rules: DataFrame, spread: float = SPREAD, min_docs: int = MIN_DOCS) -> dict[tuple[str, int], list[float]]:
+    """(least, most) of each measure in turn, by band and length class, from a column ``_rule``."""
+    judged = rules.select("_rule.*").where(~F.col("base_failed") & (F.col("n_pieces") >= MIN_TOKENS))
+    binned = [F.struct(F.lit(k).alias("k"), F.round(F.least(F.col(m), F.lit(TOP)) / F.lit(BIN)).cast("int").alias("bin")) for k, m in enumerate(MEASURES)]
+    found = judged.select("band", "size", F.explode(F.array(*binned)).alias("x")).groupBy("band", "size", "x.k", "x.bin").agg(F.count("*").alias("n")).collect()
+    seen: dict[tuple, dict[int, int]] = {}
+    for r in found:
+        for key in ((r.band, r.size, r.k), (r.band, None, r.k)):
+            part = seen.setdefault(key, {})
+            part[r.bin] = part.get(r.bin, 0) + r.n
+    out = {}
+    for band, size in sorted({(r.band, r.size) for r in found}):
+        at = next((x for x in (size, None) if sum(seen[band, x, 0].values()) >= min_docs), "few")
+        if at == "few":
+            continue
+        limits = []
+        for k, m in enumerate(MEASURES):
+            bins = sorted(seen[band, at, k].items())
+            up = np.cumsum([n for _, n in bins])
+            low, high = (bins[int(np.searchsorted(up, q * up[-1]))][0] * BIN for q in (0.25, 0.75))
+            reach = max(spread * (high - low), SLACK[m])
+            limits += [low - reach, high + reach]
+        out[band, size] = limits
+    return out
+
+
+def _verdict(rules: DataFrame, spread: float, min_docs: int) -> DataFrame:
+    """``rules`` with a column ``_kept``."""
+    names = [f"_{side}{k}" for k in range(len(MEASURES)) for side in ("least", "most")]
+    rows = [(*key, *limits) for key, limits in derive(rules, spread, min_docs).items()]
+    limits = rules.sparkSession.createDataFrame(rows, f"_band string, _size int, {', '.join(f'{c} double' for c in names)}")
+    joined = rules.join(F.broadcast(limits), (F.col("_rule.band") == F.col("_band")) & (F.col("_rule.size") == F.col("_size")), "left")
+    inside = F.col("_rule.inside")
+    for k, m in enumerate(MEASURES):
+        inside &= F.coalesce(F.col(f"_rule.{m}").between(F.col(f"_least{k}"), F.col(f"_most{k}")), F.lit(True))
+    kept = ~F.col("_rule.base_failed") & (inside | (F.col("_rule.n_pieces") < MIN_TOKENS))
+    return joined.withColumn("_kept", kept).drop("_band", "_size", *names)
+
+
+def measure(docs: DataFrame, piece_path: str, byte_path: str, bands: dict = BANDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spread: float = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row a document: the base counts, base_failed, kept, and the measures behind it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, counts, measured, base_failed, kept in _judge(batch.column(1), batch.column(2).to_pylist(), bands, piece_path, byte_path):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(getattr(counts, c)) for c in COUNTS), pa.array(base_failed), pa.array(kept), *(pa.array(measured[m]) for m in ("n_pieces", *MEASURES))], names=["doc_id", *COUNTS, "base_failed", "kept", "n_pieces", *MEASURES])
+            for lo, hi, counts, rule in _judge(batch.column(1), batch.column(2).to_pylist(), bands, piece_path, byte_path):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(getattr(counts, c)) for c in COUNTS), rule], names=["doc_id", *COUNTS, "_rule"])
         _forget(piece_path, byte_path)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, n_pieces long, {', '.join(f'{m} double' for m in MEASURES)}")
+    made = storage.materialise(rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, _rule {RULE}"), "fertility")
+    return _verdict(made, spread, min_docs).select("doc_id", *COUNTS, "_rule.base_failed", F.col("_kept").alias("kept"), *(f"_rule.{m}" for m in ("n_pieces", *MEASURES)))
 
 
-def keep(docs: DataFrame, piece_path: str, byte_path: str, bands: dict = BANDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with all its columns, without the documents that the rules reject."""
+def keep(docs: DataFrame, piece_path: str, byte_path: str, bands: dict = BANDS, text_col: str = "text", lang_col: str = "lang", spread: float = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with all its columns, without the documents that the rules reject.  Documents are
+    written once with their measures, as bands are known only after all are measured."""
     text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+    schema = StructType([*docs.schema.fields, StructField("_rule", StructType.fromDDL(f"r {RULE}")["r"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, *_, kept in _judge(batch.column(text), batch.column(lang).to_pylist(), bands, piece_path, byte_path):
-                yield batch.slice(lo, hi - lo).filter(pa.array(kept))
+            for lo, hi, _, rule in _judge(batch.column(text), batch.column(lang).to_pylist(), bands, piece_path, byte_path):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, rule], names=[*part.schema.names, "_rule"])
         _forget(piece_path, byte_path)
 
-    return docs.mapInArrow(run, docs.schema)
+    made = storage.materialise(docs.mapInArrow(run, schema), "fertility")
+    return _verdict(made, spread, min_docs).where("_kept").select(*docs.columns)

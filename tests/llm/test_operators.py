@@ -208,6 +208,25 @@ def test_fertility(docs, empty):
     assert fertility.measure(empty, *paths).count() == 0 and fertility.keep(docs, *paths).columns == docs.columns
 
 
+def test_fertility_bands_follow_the_table(spark):
+    paths = vocabularies.public("piece_bpe_32k.model"), vocabularies.public("byte_bpe_50k.tiktoken")
+    rng = np.random.default_rng(3)
+    words = "the house of water stands near river and people walk there every morning with their children before work begins in small town".split()
+    clean = [" ".join(rng.choice(words, 120)) for _ in range(300)]
+    junk = [" ".join(w + " " + "".join(rng.choice(list("abcdefghijklmnoprstuv"), 6)) for w in rng.choice(words, 60)) for _ in range(9)]
+    made = spark.createDataFrame([(k, t, "en", "x") for k, t in enumerate(clean + junk)], "doc_id long, text string, lang string, kept string").repartition(5)
+    rows = fertility.measure(made, *paths).collect()
+    kept = {r.doc_id for r in rows if r.kept}
+    assert all(1.35 <= r.piece_chars <= 7 and 0.6 <= r.entropy <= 1 and r.fallback == 0 and r.byte_chars >= 1.75 for r in rows if r.doc_id < 300)
+    assert not kept & set(range(300, 309)) and len(kept) >= 290
+    stays = fertility.keep(made, *paths)
+    assert {r.doc_id for r in stays.collect()} == kept and stays.columns == made.columns
+    # Too few documents for bands of their own: the fixed ones decide alone.
+    inside = {r.doc_id for r in rows if not r.base_failed and all(lo <= r[m] <= hi for m, (lo, hi) in fertility.BANDS["en"].items())}
+    assert {r.doc_id for r in fertility.measure(made, *paths, min_docs=1000).collect() if r.kept} == inside
+    assert inside >= set(range(300, 309))
+
+
 def test_lines(spark):
     rows = [(k, f"Menu \nown {k}\n\nMenu", "h") for k in range(8)] + [(8, None, "h"), (9, "Menu", None), (10, "x\ncopy", "g"), (11, "x\ncopy", "g"), (0, "Menu \nown 0\n\nMenu", "h")]
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, source string, page string")
