@@ -237,6 +237,14 @@ def test_lines(spark):
     assert line_dedup.clean(docs.limit(0), F.col("source")).count() == 0
 
 
+def test_lines_below_a_tenth(spark):
+    # 6 of 200 pages share a line, 4 another: a few per cent are enough, below MIN_PAGES is not.
+    rows = [(k, f"own {k}\n" + ("Subscribe to our letter" if k < 6 else "rare" if k < 10 else f"end {k}"), "h") for k in range(200)]
+    got = {r.doc_id: r for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.col("source"), report=True).collect()}
+    assert [k for k, r in got.items() if r.n_dropped] and all(got[k].text == f"own {k}" for k in range(6))
+    assert all(got[k].text == rows[k][1] for k in range(6, 200))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
