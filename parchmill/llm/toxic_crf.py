@@ -291,24 +291,34 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     joined = texts.join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id", "text").alias("rank"))
     got, left = [], sample_bytes
     for r in sorted(_bounded(joined, sample_bytes), key=lambda r: (r.rank, r.label)):
-        left -= len(r.text)
-        if left >= 0:
+        if len(r.text) <= left:
+            left -= len(r.text)
             got.append(r)
     prior = (totals.get(1, 0) + 1) / (totals.get(0, 0) + totals.get(1, 0) + 2)
     return fit([r.text for r in got], np.array([r.label for r in got], np.int64), prior)
 
 
 def _bounded(rows: DataFrame, limit: int) -> list:
-    """The rows, if their texts keep to ``limit`` bytes; else those of the smallest ranks that do."""
-    sized = rows.select("rank", F.octet_length("text").alias("size")).collect()
-    sized.sort()
-    total, last = 0, None
-    for r in sized:
-        total += r.size
-        if total > limit:
-            break
-        last = r.rank
-    return rows.where(F.col("rank") <= F.lit(last)).collect() if last is not None else []
+    """The rows, if their texts keep to ``limit`` bytes; else those that still fit, by rank: a text
+    that doesn't is skipped (with its equal rows), and room is held for the least of each label."""
+    sizes: dict[tuple[int, int], int] = {}
+    for r in rows.select("rank", "label", F.octet_length("text").alias("size")).collect():
+        sizes[r.rank, r.label] = sizes.get((r.rank, r.label), 0) + r.size
+    if sum(sizes.values()) <= limit:
+        return rows.collect()
+    held: dict[int, int] = {}
+    for (_, label), size in sizes.items():
+        held[label] = min(size, held.get(label, size))
+    if sum(held.values()) > limit:
+        held = {}
+    total, chosen = 0, []
+    for (rank, label), size in sorted(sizes.items()):
+        if total + size + sum(s for x, s in held.items() if x != label) <= limit:
+            total += size
+            held.pop(label, None)
+            chosen.append((rank, label))
+    keys = rows.sparkSession.createDataFrame(chosen, "rank long, label int")
+    return rows.join(F.broadcast(keys), ["rank", "label"], "left_semi").collect()
 
 
 def tag(docs: DataFrame, model: ToxicTagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

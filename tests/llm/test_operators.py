@@ -161,6 +161,17 @@ def test_toxic(spark):
     assert toxic_crf.tag(docs, toxic_crf.train(docs, labels.limit(0), F.lit(True), "y")).first().score == 0.5
 
 
+def test_toxic_sample_skips_long_texts(spark):
+    # In every order of ranks some text is behind the long one; all but that one are in the sample.
+    rows = [(k, k % 2, ("x" if k == 3 else "w%d " % k) * (5000 if k == 3 else 10)) for k in range(12)]
+    made = spark.createDataFrame([(r, y, t) for r, y, t in rows], "rank long, label int, text string")
+    got = toxic_crf._bounded(made, 1000)
+    assert sorted(r.rank for r in got) == [k for k in range(12) if k != 3]
+    assert toxic_crf._bounded(made.where("rank = 3"), 1000) == [] and len(toxic_crf._bounded(made, 10**6)) == 12
+    # The first label leaves room for the other.
+    assert {r.label for r in toxic_crf._bounded(made.where("rank <> 3").withColumn("rank", F.col("rank") + 100 * F.col("label")), 80)} == {0, 1}
+
+
 def test_quality(spark):
     docs, labels, truth = labelled(spark, 240, prose, lambda k: (prose(k, 30).upper() + "!! ") * 2)
     model = gam_quality.train(docs, labels, F.col("doc_id") % 5 != 0, "y")
