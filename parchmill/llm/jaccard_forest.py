@@ -1,14 +1,14 @@
-"""Operator 4: n-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""Operator 4: n-gram Jaccard join by fixed-depth MinHash banding, with exact verification.
 
 Words are those of ``ALNUM`` on lower-cased text; a document is the set of its hashed five-word
 shingles (a shorter document with words is one shingle).  Documents of equal sets are one class,
 its smallest id the representative; only representatives are joined.
 
-Forest.  Each representative has one label a tree: ``DEPTH`` MinHash bytes, in sorted prefix
-order.  Matching starts from whole labels; the matched prefix is shortened until the chance that
-a pair of similarity ``THRESHOLD`` shares a prefix in some tree reaches the target recall
-(``floor_depth``).  Prefix groups of one representative are dropped after a pre-aggregated count.
-The others are read in sorted prefix order, trie node by trie node; set sizes (an exact bound)
+Bands.  Not an LSH forest: each representative has one label a tree, of as many MinHash bytes
+as ``floor_depth`` gives, the longest (from ``DEPTH`` down) at which a pair of similarity
+``THRESHOLD`` shares a label in some tree with the target recall.  Labels are matched whole, at
+this one depth.  Groups of one representative are dropped after a pre-aggregated count.
+The others are read in order of labels, group by group; set sizes (an exact bound)
 and the agreement of the whole signatures (``MARGIN``: six standard errors below the threshold)
 discard pairs before their sets are compared exactly.  A pair belongs to the first tree whose
 prefix it shares, so it is verified and counted once without a distinct.
@@ -45,7 +45,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
 TREES = 32
-#: MinHash bytes of a whole label; matched prefixes are shortened from here.
+#: The most MinHash bytes of a label: ``floor_depth`` starts here.
 DEPTH = 8
 MARGIN = 0.2
 GROUP = 2048
