@@ -15,15 +15,21 @@ matrices, which is exact and starts anew at each text.  The marginals' maximum,
 rate a thousand words are aggregated by a logistic layer, fitted on the sample, to the document's score; tokens above
 ``TAG`` are the offending spans, with byte offsets.
 
+Training rows are bounded (``SAMPLE`` a label, ``SAMPLE_BYTES``), in an order of hashes that breaks
+all ties; a text that doesn't fit in what is left is skipped and the next ones are tried.
+
 Defined results: a null or wordless text is scored with zero aggregates.  Null labels are no
-labels.  Repeated rows are each scored, and each weighs in training.  Without toxic labels in the
-sample there are no cues and the score is the smoothed base rate; without any label 0.5.  Other
-columns are ignored.
+labels.  Repeated rows are each scored, and count once in training.  Without toxic labels in the
+sample, or where no word sets toxic texts apart from clean ones (a fixed phrase of words that
+clean texts hold too), there are no cues: every score is the smoothed base rate and a warning
+says so; without any label it is 0.5.  An empty table gives no row.  Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -150,8 +156,36 @@ def marginals(emission: np.ndarray, first: np.ndarray, transitions: np.ndarray)
     return (both[..., 1] / both.sum(-1)).T.reshape(-1)[:n]
 
 
+def window_counts(emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a chain model expects in windows of one length, each a chain of its own: P(tag 1) of
+    each token, and the pairs of neighbouring tags, summed over all windows."""
+    rows, size = emission.shape
+    lift, t = np.exp(np.clip(emission, -30, 30)), np.exp(trans)
+    a = np.empty((size, rows, 2))
+    b = np.ones((size, rows, 2))
+    a[0, :, 0], a[0, :, 1] = 1, lift[:, 0]
+    a[0] /= a[0].sum(1, keepdims=True)
+    for k in range(1, size):
+        a[k] = a[k - 1] @ t
+        a[k, :, 1] *= lift[:, k]
+        a[k] /= a[k].sum(1, keepdims=True)
+    for k in range(size - 2, -1, -1):
+        x = b[k + 1].copy()
+        x[:, 1] *= lift[:, k + 1]
+        b[k] = x @ t.T
+        b[k] /= b[k].sum(1, keepdims=True)
+    p = a * b
+    expected = np.zeros((2, 2))
+    for k in range(1, size):
+        x = b[k].copy()
+        x[:, 1] *= lift[:, k]
+        pair = a[k - 1][:, :, None] * t[None] * x[:, None, :]
+        expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+    return (p[..., 1] / p.sum(-1)).T, expected
+
+
 def _train_crf(ids: np.ndarray, sizes: np.ndarray, tags: np.ndarray, steps: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights by gradient ascent on windows of ``WINDOW`` tokens: expected minus observed counts.
+    """Weights by gradient ascent on windows of ``WINDOW`` tokens: observed minus expected counts.
 
     ids: hashed features, ``sizes`` of each token; tags: 0 or 1 of each token."""
     n = len(tags) // WINDOW * WINDOW
@@ -169,29 +203,8 @@ def _train_crf(ids: np.ndarray, sizes: np.ndarray, tags: np.ndarray, steps: int)
     seen = np.bincount(ids, tags[of], len(used))
     heads = np.cumsum(sizes) - sizes
     for _ in range(steps):
-        e = (np.add.reduceat(w[ids], heads) + bias).reshape(rows, WINDOW)
-        lift, t = np.exp(np.clip(e, -30, 30)), np.exp(trans)
-        a = np.empty((WINDOW, rows, 2))
-        b = np.ones((WINDOW, rows, 2))
-        a[0, :, 0], a[0, :, 1] = 1, lift[:, 0]
-        a[0] /= a[0].sum(1, keepdims=True)
-        for k in range(1, WINDOW):
-            a[k] = a[k - 1] @ t
-            a[k, :, 1] *= lift[:, k]
-            a[k] /= a[k].sum(1, keepdims=True)
-        for k in range(WINDOW - 2, -1, -1):
-            x = b[k + 1].copy()
-            x[:, 1] *= lift[:, k + 1]
-            b[k] = x @ t.T
-            b[k] /= b[k].sum(1, keepdims=True)
-        p = a * b
-        p = (p[..., 1] / p.sum(-1)).T.ravel()
-        expected = np.zeros((2, 2))
-        for k in range(1, WINDOW):
-            x = b[k].copy()
-            x[:, 1] *= lift[:, k]
-            pair = a[k - 1][:, :, None] * t[None] * x[:, None, :]
-            expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+        p, expected = window_counts((np.add.reduceat(w[ids], heads) + bias).reshape(rows, WINDOW), trans)
+        p = p.ravel()
         d_w = seen - np.bincount(ids, p[of], len(used)) - L2 * n * w
         d_t, d_b = observed - expected, float((tags - p).sum())
         g_w, g_t, g_b = g_w + d_w**2, g_t + d_t**2, g_b + d_b**2
@@ -286,39 +299,42 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & usable)
     totals = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ranked = [F.xxhash64("doc_id"), "doc_id"]
+    rows = rows.distinct()
     chosen = rows.where("label = 1").orderBy(*ranked).limit(sample).union(rows.where("label = 0").orderBy(*ranked).limit(sample))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id", "text").alias("rank"))
-    got, left = [], sample_bytes
-    for r in sorted(_bounded(joined, sample_bytes), key=lambda r: (r.rank, r.label)):
-        if len(r.text) <= left:
-            left -= len(r.text)
-            got.append(r)
+    got = _bounded(joined, sample_bytes, sample)
     prior = (totals.get(1, 0) + 1) / (totals.get(0, 0) + totals.get(1, 0) + 2)
-    return fit([r.text for r in got], np.array([r.label for r in got], np.int64), prior)
+    model = fit([r.text for r in got], np.array([r.label for r in got], np.int64), prior)
+    if not model.layer.any():
+        warnings.warn(f"no cue of toxic words in {len(got)} training texts: every score is the base rate {model.base:.3f}", stacklevel=2)
+    return model
+
 
+def _bounded(rows: DataFrame, limit: int, sample: int = SAMPLE) -> list:
+    """At most ``sample`` rows of each label of at most ``limit`` bytes of text in all, by rank and
+    label; rows that agree in both count once.
 
-def _bounded(rows: DataFrame, limit: int) -> list:
-    """The rows, if their texts keep to ``limit`` bytes; else those that still fit, by rank: a text
-    that doesn't is skipped (with its equal rows), and room is held for the least of each label."""
-    sizes: dict[tuple[int, int], int] = {}
-    for r in rows.select("rank", "label", F.octet_length("text").alias("size")).collect():
-        sizes[r.rank, r.label] = sizes.get((r.rank, r.label), 0) + r.size
-    if sum(sizes.values()) <= limit:
-        return rows.collect()
+    Only ranks and sizes of ``2 * sample`` rows, and then the texts that fit, reach the driver.
+    A text that doesn't fit in what is left is skipped, and room is held for the smallest
+    text of a label that has none yet."""
+    sized = rows.groupBy("rank", "label").agg(F.max(F.octet_length("text")).alias("size")).where(F.col("size") <= limit)
+    found = [r for y in (0, 1) for r in sized.where(F.col("label") == y).orderBy("rank").limit(sample).collect()]
     held: dict[int, int] = {}
-    for (_, label), size in sizes.items():
-        held[label] = min(size, held.get(label, size))
+    for r in found:
+        held[r.label] = min(r["size"], held.get(r.label, r["size"]))
     if sum(held.values()) > limit:
         held = {}
     total, chosen = 0, []
-    for (rank, label), size in sorted(sizes.items()):
-        if total + size + sum(s for x, s in held.items() if x != label) <= limit:
-            total += size
-            held.pop(label, None)
-            chosen.append((rank, label))
+    for r in sorted(found, key=lambda r: (r["rank"], r.label)):
+        if total + r["size"] + sum(s for y, s in held.items() if y != r.label) <= limit:
+            total += r["size"]
+            held.pop(r.label, None)
+            chosen.append((r["rank"], r.label))
     keys = rows.sparkSession.createDataFrame(chosen, "rank long, label int")
-    return rows.join(F.broadcast(keys), ["rank", "label"], "left_semi").collect()
+    # Equal rows fold before they are shuffled.
+    texts = rows.join(F.broadcast(keys), ["rank", "label"], "left_semi").groupBy("rank", "label").agg(F.first("text").alias("text"))
+    return sorted(texts.collect(), key=lambda r: (r["rank"], r.label))
 
 
 def tag(docs: DataFrame, model: ToxicTagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
