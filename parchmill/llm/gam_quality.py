@@ -7,12 +7,14 @@ residuals, get tables of their own in the same way.  A score is the logistic of
 plus one entry of each table, looked up for all rows of a slice at once.
 
 Training rows are a bounded sample of the labelled rows that aren't held out: the ``SAMPLE``
-rows of smallest xxhash64(doc_id).  The sample (ids and labels) is broadcast, its measures are
-gathered on the driver: ``SAMPLE`` rows of a few numbers each.  Scoring reads every row.
+rows of smallest xxhash64(doc_id).  The sample (ids and labels) is broadcast; the measures of its
+texts are folded where rows repeat and gathered on the driver, ``SAMPLE`` rows of a few numbers
+each at most, even if an id has more rows than that.  Scoring reads every row.
 
 Defined results: a null text is an empty one and gets the score of a text without words.  Null
-labels are no labels; other values than 0 and 1 neither.  Repeated rows are each scored, and each
-weighs in training.  Without any labelled row every score is 0.5.  Other columns are ignored.
+labels are no labels; other values than 0 and 1 neither.  Repeated rows are each scored, and count
+once in training.  Without any labelled row every score is 0.5.  An empty table gives no row.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -175,17 +177,18 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pair_rounds: int = P
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Additive:
     """Fit on at most ``sample`` of the labelled rows for which ``usable`` holds."""
-    chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & usable).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & usable).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # ``sample`` rows of two numbers: bounded by the parameter.
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id", "text").alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, off in sliced(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int32()), pa.array(list(measure(buf, off)), pa.list_(pa.float64()))], names=["label", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int32()), pa.array(list(measure(buf, off)), pa.list_(pa.float64())), batch.column(2).slice(lo, hi - lo)], names=["label", "x", "rank"])
 
-    got = rows.mapInArrow(run, "label int, x array<double>").collect()
+    measured = rows.mapInArrow(run, "label int, x array<double>, rank long").groupBy("rank", "label").agg(F.min("x").alias("x"))
+    got = measured.orderBy("rank", "label").limit(sample).collect()
     got.sort(key=lambda r: (r.label, r.x))
     return fit(np.array([r.x for r in got]), np.array([r.label for r in got], float))
 
