@@ -9,15 +9,15 @@ boilerplate.  DataFrame functions only.
 Plan: lines are trimmed, made distinct within a page and hashed before the first shuffle, so it
 carries hashes, not text; the distinct page count spreads a hot line over its pages' hashes and
 is pre-aggregated at each level.  The boilerplate lines (at most lines-per-page / RATIO a host)
-are joined back on the hashes: adaptive execution broadcasts them while they are small by
-measured size, and splits a hot line's partition otherwise.  Only pages that hold one carry a
+are joined back on the hashes: adaptive execution (which must stay on) broadcasts them while they
+are small by measured size, and splits a hot line's partition otherwise.  Only pages that hold one carry a
 list, and texts move at most once, to meet that list.
 
 Defined results: a null text stays null and counts as a page without lines.  A null host is the
 host "".  Lines of white space are never counted or dropped.  Lines are equal if they are equal
 without white space at their ends; the lines that stay keep theirs.  Repeated rows are cleaned
 alike.  A page that is all boilerplate becomes empty.  Empty tables give no rows.  Other columns
-are kept.
+are kept, whatever their names; where the report's names are taken they end in "_".
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchmill.llm import storage
+
 #: Well below the shares of the commonest repeated lines (to 13 % of a source's pages on sf0.1), above
 #: that of the longest one seen, a paragraph of 530 characters (to 1.05 % on check_h).
 RATIO = 0.02
@@ -71,15 +73,16 @@ def clean(docs: DataFrame, host: Column, ratio: float = RATIO, min_pages: int =
     n_lines and n_dropped."""
     keyed = _keyed(docs, host, text_col)
     found = boilerplate(docs, host, ratio, min_pages, text_col).select("host", "line")
-    hits = _lines(keyed).join(found, ["host", "line"]).groupBy("host", "page").agg(F.collect_set("line").alias("_drop"))
+    hits = _lines(keyed).join(found, ["host", "line"]).groupBy("host", "page").agg(F.collect_set("line").alias("drop"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     page = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(SALT), text).alias("b"))
-    joined = docs.withColumn("_host", F.coalesce(host, F.lit(""))).withColumn("_page", page).join(hits.withColumnsRenamed({"host": "_host", "page": "_page"}), ["_host", "_page"], "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), _line_key(_trim(x))))
-    cleaned = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    columns = [cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    at = {c: storage.free_name(f"line_{c}", docs) for c in ("host", "page", "drop")}
+    joined = docs.withColumns({at["host"]: F.coalesce(host, F.lit("")), at["page"]: page}).join(hits.withColumnsRenamed(at), [at["host"], at["page"]], "left")
+    lines, drop = F.split(F.col(text_col), "\n"), F.col(at["drop"])
+    kept = F.filter(lines, lambda x: ~F.array_contains(drop, _line_key(_trim(x))))
+    cleaned = F.when(drop.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    columns = [cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if report:
         n_lines = F.coalesce(F.size(lines), F.lit(0))
-        columns += [n_lines.alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).alias("n_dropped")]
+        columns += [n_lines.alias(storage.free_name("n_lines", docs)), F.when(drop.isNull(), 0).otherwise(F.size(lines) - F.size(kept)).alias(storage.free_name("n_dropped", docs))]
     return joined.select(*columns)
