@@ -6,20 +6,25 @@ are joined back to the pages (adaptive execution splits a hot digest), and each
 records to one archive in the shared folder.  A revisit record has the HTTP header of its page
 but no payload, and refers to the response's record.
 
-Reading.  Archives are read in blocks of ``BLOCK`` bytes through an incremental zlib inflater;
-a member's end starts the next record, a record's block is framed by Content-Length, and the
-block's and the payload's digests are verified.
-
-Defined results: a null html is an empty payload.  A null page_id is always a response with a
-record id of its own.  Rows that repeat both page_id and payload of a response are responses
-too; other repeated ids are judged by their payloads.  An empty table gives no archive and no
-row.  Other columns are ignored.
+Reading.  Archives are read in blocks of ``BLOCK`` bytes through an incremental zlib inflater, a
+member's end starts the next record.  The header is parsed as soon as it is complete; from then
+on Content-Length frames the record's block, whose bytes go through the digests as they
+come and are kept only if the payload is asked for.  Whatever is malformed is a WarcError.
+
+Defined results: page ids are whole numbers (cast to long; ids that are none fail the job).  A
+null html is an empty payload.  A null page_id is always a response with a record id of its own,
+from the archive and its place in it; pages are sorted, so a repeated task writes the same file.
+A URL comes back as it was, null too: what no header can hold is percent-encoded there and kept
+whole in a field of its own.  Rows that repeat both page_id and payload of a response are
+responses too; other repeated ids are judged by their payloads.  An empty table gives no archive
+and no row.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,31 +41,44 @@ BLOCK = 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_ROWS = 500
+#: The longest header that is read.
+HEAD_BYTES = 1 << 20
 
 
 class WarcError(ValueError):
     """An archive that is cut off, mis-framed or fails its digest."""
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:page:none-{uuid.uuid4()}>"
+def record_id(page_id: int | None, place: str = "") -> str:
+    return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:page:none-{place}>"
 
 
 def page_of(identifier: str | None) -> int | None:
     tail = (identifier or "").strip("<>").rpartition(":")[2]
-    return int(tail) if tail.lstrip("-").isdigit() else None
+    return int(tail) if re.fullmatch(r"-?[0-9]+", tail) else None
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
-    """One record as a gzip member: a response, or a revisit of page ``refers_to``."""
+#: A field for URLs that the standard's can't hold, as a JSON value.
+SOURCE = "WARC-X-Source-URI"
+
+
+def _target(url: str | None) -> list[str]:
+    """The header lines of a URL: spaces and control characters can't stand in one."""
+    plain = "urn:none" if url is None else re.sub(r"[\x00-\x20\x7f-\xa0\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+    return [f"WARC-Target-URI: {plain}", *([f"{SOURCE}: {json.dumps(url)}"] if plain != url else [])]
+
+
+def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, place: str = "") -> bytes:
+    """One record as a gzip member: a response, or a revisit of page ``refers_to``; ``place`` names
+    a page that has no id."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, place)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {''.join((url or 'urn:none').split())}",
+        *_target(url),
         f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
     ]
@@ -71,29 +89,60 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_t
     return press.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + press.flush()
 
 
-def members(handle, block: int = BLOCK) -> Iterator[bytes]:
-    """Each gzip member's content, inflated step by step."""
-    rest = b""
-    while True:
-        inflate, parts, started = zlib.decompressobj(31), [], False
-        while not inflate.eof:
-            data = rest or handle.read(block)
-            rest = b""
+class Member:
+    """One gzip member, inflated as it is read; ``rest`` holds what follows it in the file."""
+
+    def __init__(self, handle, rest: bytes, block: int):
+        self.handle, self.rest, self.block = handle, rest, block
+        self.inflate, self.ready = zlib.decompressobj(31), b""
+
+    def more(self) -> bool:
+        """Inflate up to ``block`` more bytes; False at the member's end."""
+        while not self.inflate.eof:
+            data = self.inflate.unconsumed_tail or self.rest or self.handle.read(self.block)
+            self.rest = b""
             if not data:
-                if started:
-                    raise WarcError("cut-off gzip member")
-                return
-            started = True
+                raise WarcError("cut-off gzip member")
             try:
-                parts.append(inflate.decompress(data))
+                got = self.inflate.decompress(data, self.block)
             except zlib.error as error:
                 raise WarcError(f"bad gzip member: {error}") from error
-        rest = inflate.unused_data
-        yield b"".join(parts)
+            if self.inflate.eof:
+                self.rest = self.inflate.unused_data
+            if got:
+                self.ready += got
+                return True
+        return False
+
+    def head(self, limit: int) -> bytes:
+        """The bytes up to an empty line."""
+        while (at := self.ready.find(b"\r\n\r\n")) < 0:
+            if len(self.ready) > limit or not self.more():
+                raise WarcError("record without a header end")
+        head, self.ready = self.ready[:at], self.ready[at + 4 :]
+        return head
+
+    def take(self, size: int) -> Iterator[bytes]:
+        """The next ``size`` bytes, in parts."""
+        while size:
+            if not self.ready and not self.more():
+                raise WarcError("block is shorter than Content-Length")
+            part, self.ready = self.ready[:size], self.ready[size:]
+            size -= len(part)
+            yield part
+
+    def tail(self) -> bytes:
+        """What is left; a few bytes in a sound record."""
+        while len(self.ready) <= 4 and self.more():
+            pass
+        return self.ready
 
 
 def _fields(head: bytes) -> tuple[str, dict[str, str]]:
-    first, *lines = head.decode("utf-8").split("\r\n")
+    try:
+        first, *lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as error:
+        raise WarcError(f"header is no UTF-8: {error}") from error
     fields = {}
     for line in lines:
         name, colon, value = line.partition(":")
@@ -103,31 +152,69 @@ def _fields(head: bytes) -> tuple[str, dict[str, str]]:
     return first, fields
 
 
-def parse_record(raw: bytes) -> dict:
-    """Headers, payload and its length of one record; digests are verified."""
-    head, gap, rest = raw.partition(b"\r\n\r\n")
-    if not gap:
-        raise WarcError("record without a header end")
-    version, fields = _fields(head)
+def _need(fields: dict[str, str], name: str) -> str:
+    if name not in fields:
+        raise WarcError(f"record without {name}")
+    return fields[name]
+
+
+def _length(fields: dict[str, str]) -> int:
+    value = _need(fields, "content-length")
+    if not re.fullmatch("[0-9]+", value):
+        raise WarcError(f"bad content-length {value!r}")
+    return int(value)
+
+
+def _url(fields: dict[str, str]) -> str | None:
+    if SOURCE.lower() not in fields:
+        return _need(fields, "warc-target-uri")
+    try:
+        return json.loads(fields[SOURCE.lower()])
+    except ValueError as error:
+        raise WarcError(f"bad {SOURCE}") from error
+
+
+def read_record(member: Member, with_payload: bool = True) -> dict:
+    """Headers, payload and its length of one record; digests are verified on the way."""
+    version, fields = _fields(member.head(HEAD_BYTES))
     if not version.startswith("WARC/"):
         raise WarcError(f"not a WARC record: {version!r}")
-    size = int(fields["content-length"])
-    block, end = rest[:size], rest[size:]
-    if len(block) != size or end != b"\r\n\r\n":
-        raise WarcError("block does not fit Content-Length")
-    if fields.get("warc-block-digest") != f"sha256:{hashlib.sha256(block).hexdigest()}":
+    size, kind = _length(fields), _need(fields, "warc-type")
+    block, payload, head, n, kept = hashlib.sha256(), hashlib.sha256(), b"", 0, []
+    length = None
+    for part in member.take(size):
+        block.update(part)
+        if length is None:
+            head += part
+            http, gap, part = head.partition(b"\r\n\r\n")
+            if not gap:
+                if len(head) > HEAD_BYTES:
+                    raise WarcError("HTTP header without an end")
+                continue
+            length = _length(_fields(http)[1])
+        payload.update(part)
+        n += len(part)
+        if with_payload:
+            kept.append(part)
+    if length is None:
+        raise WarcError("block without an HTTP header")
+    if member.tail() != b"\r\n\r\n":
+        raise WarcError("block is longer than Content-Length")
+    if _need(fields, "warc-block-digest") != f"sha256:{block.hexdigest()}":
         raise WarcError("block digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = int(_fields(http)[1]["content-length"])
-    digest = fields["warc-payload-digest"].removeprefix("sha256:")
-    if fields["warc-type"] == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
+    digest = _need(fields, "warc-payload-digest").removeprefix("sha256:")
+    if kind == "response" and (n != length or payload.hexdigest() != digest):
         raise WarcError("payload digest or length differs")
-    return {"page_id": page_of(fields["warc-record-id"]), "url": fields["warc-target-uri"], "type": fields["warc-type"], "payload": payload, "payload_bytes": length, "payload_digest": digest, "refers_to": page_of(fields.get("warc-refers-to"))}
+    return {"page_id": page_of(_need(fields, "warc-record-id")), "url": _url(fields), "type": kind, "payload": b"".join(kept), "payload_bytes": length, "payload_digest": digest, "refers_to": page_of(fields.get("warc-refers-to"))}
 
 
-def read_archive(handle) -> Iterator[dict]:
-    for raw in members(handle):
-        yield parse_record(raw)
+def read_archive(handle, with_payload: bool = True, block: int = BLOCK) -> Iterator[dict]:
+    """The records of an archive, one after the other."""
+    rest = b""
+    while rest := rest or handle.read(block):
+        member = Member(handle, rest, block)
+        yield read_record(member, with_payload)
+        rest = member.rest
 
 
 def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -136,16 +223,19 @@ def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "u
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     groups = rows.where((F.length("payload") >= revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     joined = rows.join(groups, "digest", "left").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    # In one order, so that a task which is run again writes the same file.
+    joined = joined.sortWithinPartitions("page_id", "url", "refers_to", F.xxhash64("payload"))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, n, file, handle = f"{out}/pages-{TaskContext.get().partitionId():06d}.warc.gz", 0, None, None
+        part = TaskContext.get().partitionId()
+        path, n, file, handle = f"{out}/pages-{part:06d}.warc.gz", 0, None, None
         try:
             for batch in batches:
                 for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                     if file is None:
                         file = storage.AtomicFile(path)
                         handle = file.__enter__()
-                    handle.write(encode_record(page_id, url, payload, refers_to))
+                    handle.write(encode_record(page_id, url, payload, refers_to, f"{part}-{n}"))
                     n += 1
         except BaseException as error:
             if file is not None:
@@ -175,7 +265,7 @@ def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
             for k in batch.column(0).to_pylist():
                 with storage.open_input(paths[k]) as handle:
                     rows = []
-                    for record in read_archive(handle):
+                    for record in read_archive(handle, with_payload):
                         rows.append(record)
                         if len(rows) == READ_ROWS:
                             yield batch_of(rows)
