@@ -15,12 +15,15 @@ around characters that no piece holds), and each distinct part is encoded once a
 
 Defined results: a null text has no pieces and decodes to the empty text.  Unknown characters
 become byte pieces, or the unknown id where the model has none (then the text doesn't come back).
-Bytes that are no UTF-8 decode to U+FFFD.  Repeated rows are each encoded.
+Bytes that are no UTF-8 decode to U+FFFD.  Repeated rows are each encoded.  An empty table gives
+no row.  Other columns, whatever their names, are ignored.  Models with a character map or
+user-defined pieces are refused with an error.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -114,17 +117,33 @@ class PieceModel:
         self.automaton.make_automaton()
 
     def _merge(self, text: str) -> list[int]:
-        """Plain BPE: join the best-scored neighbours until none join.  For short texts."""
-        parts = list(text)
-        while True:
-            best = None
-            for k in range(len(parts) - 1):
-                i = self.index.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best[0]):
-                    best = self.scores[i], k
-            if best is None:
-                return [self.index.get(p, self.unknown) for p in parts]
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        """Plain BPE: join the best-scored neighbours, the first of equals, until none join; by a
+        heap, so the time is n log n for a text of any length."""
+        parts: list[str | None] = list(text)
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, int, str]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < n:
+                both = parts[k] + parts[after[k]]
+                i = self.index.get(both)
+                if i is not None:
+                    heapq.heappush(heap, (-self.scores[i], k, after[k], both))
+
+        for k in range(n - 1):
+            offer(k)
+        while heap:
+            _, k, mate, both = heapq.heappop(heap)
+            if parts[k] is None or after[k] != mate or parts[k] + parts[mate] != both:
+                continue  # one of the two has been joined since
+            parts[k], parts[mate] = both, None
+            after[k] = after[mate]
+            if after[k] < n:
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        return [self.index.get(p, self.unknown) for p in parts if p is not None]
 
     def _together(self, a: int, b: int) -> bool:
         key = a, b
