@@ -5,6 +5,7 @@ from __future__ import annotations
 from parchmill.llm.decontaminate import N, SHARE
 from parchmill.llm.jaccard_forest import SHINGLE, THRESHOLD
 from parchmill.llm.line_dedup import MIN_PAGES, RATIO
+from parchmill.llm.shards import OVERHEAD, SHARDS
 
 OP2 = rf"""
 WITH tokens AS (
@@ -70,4 +71,23 @@ SELECT doc_id, coalesce(root, rep, doc_id) AS class_id, coalesce(rep, doc_id) AS
 FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN sets USING (s) LEFT JOIN roots ON roots.x = rep LEFT JOIN counts ON counts.x = rep
 """
 
-ORACLES = {"op4_jaccard_forest": OP4, "op9_line_dedup": OP9, "op2_decontamination": OP2, "op3_warc": OP3}
+# crc32 by its table of 256 entries, byte by byte; shards by prefix sums over the whole table.
+OP5 = f"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(CAST(k AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS tab
+  FROM range(256) AS r(k)),
+d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+sized AS (
+  SELECT doc_id, octet_length(encode(body)) + {OVERHEAD} AS size,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d, crc_table),
+placed AS (
+  SELECT *, CAST(sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start, CAST(sum(size) OVER () AS BIGINT) AS total
+  FROM sized),
+cut AS (SELECT *, CAST(least({SHARDS - 1}, ((2 * start + size) * {SHARDS}) // (2 * total)) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard, start
+FROM cut
+"""
+
+ORACLES = {"op5_byte_shards": OP5, "op4_jaccard_forest": OP4, "op9_line_dedup": OP9, "op2_decontamination": OP2, "op3_warc": OP3}

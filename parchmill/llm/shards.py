@@ -7,9 +7,13 @@ the driver; a row's global start is its partition's offset plus its own, and its
 of its middle byte among equal targets.  So shards are contiguous in id order and a shard's
 bytes differ from the target by no more than one row's size.
 
+The law is ``bytes``: sizes decide alone, so rows of equal texts are not kept together unless
+their ids are neighbours, and another number of shards moves rows.
+
 Defined results: a null text has size ``overhead`` and checksum 0.  Null ids sort first.
 Repeated ids follow each other in the order of size and checksum.  A shard may stay empty if
-there are fewer rows than shards.  An empty table gives no rows.  Other columns are ignored.
+there are fewer rows than shards.  An empty table gives no An empty table gives no rows.  Other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations

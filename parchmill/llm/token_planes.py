@@ -11,9 +11,10 @@ Writing is one range shuffle by (id, text hash) and one Arrow pass; each task wr
 under a temporary name and renames it, so a repeated task leaves the same file.  A file's place
 in the whole is known from the manifest, one row a file.
 
-Defined results: null and empty texts have the end id alone.  Rows that repeat an id follow
+Defined results: ids are whole numbers (cast to long; ids that are none fail the job).  Null and empty texts have the end id alone.  Rows that repeat an id follow
 each other in the order of their texts' hashes, and rows equal in both give equal records.
-A null id sorts first.  An empty table gives no file and no row.  Other columns are ignored.
+A null id sorts first.  An empty table gives no file and no row.  Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
