@@ -35,7 +35,7 @@ from pyspark.sql.types import StructField, StructType
 
 from parchmill.llm import storage, vocabularies
 from parchmill.llm.features import ALPHA, HEAD, Counts
-from parchmill.llm.textbuf import SPACED, sliced, sums, word_array
+from parchmill.llm.textbuf import SPACED, release, sliced, sums, word_array
 
 MIN_WORDS = 50
 MEASURES = ("piece_chars", "byte_chars", "fallback", "entropy")
@@ -88,6 +88,7 @@ def _bounds(lang: list, counts: Counts, bands: dict) -> tuple[list[str], dict[st
 def _forget(piece_path: str, byte_path: str) -> None:
     vocabularies.piece_words(piece_path).forget()
     vocabularies.byte_words(byte_path).forget()
+    release()
 
 
 def _judge(column, lang: list, bands: dict, piece_path: str, byte_path: str):

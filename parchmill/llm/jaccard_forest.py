@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.llm import storage
-from parchmill.llm.textbuf import ALNUM, LOWER, Hasher, grams, mix, per_row, sliced, spans
+from parchmill.llm.textbuf import ALNUM, LOWER, Hasher, grams, mix, per_row, release, sliced, spans
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -157,6 +157,7 @@ def profiles(docs: DataFrame, width: int, size: int = SHINGLE, id_col: str = "do
                 sums = _digests(row, key, n)
                 fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(sums[0]), pa.array(sums[1]), pa.array(per_row(row, n)), fixed], names=["doc_id", "set_a", "set_b", "n", "sig"])
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, set_a long, set_b long, n long, sig binary")
@@ -290,6 +291,7 @@ def _candidates(forest: Forest) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 hit[x] = hit[y] = True
             if hit.any():
                 yield batch.select([*KEY, "block", "set_a", "set_b"]).filter(pa.array(hit))
+        release()
 
     return run
 
@@ -344,6 +346,7 @@ def _verified(forest: Forest) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             if len(some):
                 tops = reps[[find(k) for k in some.tolist()]]
                 yield pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(linked[some]), pa.array(tops)], names=["rep", "links", "root"])
+        release()
 
     return run
 
@@ -463,6 +466,7 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
                 keys = [x.tobytes() for x in np.split(key, np.cumsum(per_row(row, n))[:-1])]
                 part = pa.RecordBatch.from_arrays([a.slice(lo, n), b.slice(lo, n), rep.slice(lo, n), copies.slice(lo, n), pa.array(keys, pa.binary())], names=["set_a", "set_b", "rep", "copies", "keys"])
                 yield part.filter(pa.array(same))
+        release()
 
     return rows.mapInArrow(run, "set_a long, set_b long, rep long, copies long, keys binary").dropDuplicates(["set_a", "set_b"])
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.llm import storage
-from parchmill.llm.textbuf import WordCodec, column_bytes, slices
+from parchmill.llm.textbuf import WordCodec, column_bytes, release, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -307,6 +307,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 n_bytes = pa.array([int(byte[r].sum()) for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), first, pa.array(counts), n_bytes, pa.array(back)], names=["doc_id", "ids_crc32" if digests else "ids", "n_pieces", "n_byte_pieces", "round_trip"])
         _parts(model_path).forget()
+        release()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

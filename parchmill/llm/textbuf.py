@@ -9,6 +9,7 @@ Nulls are empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,6 +140,14 @@ def grams(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return at, mix(out)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def per_row(rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, minlength=n).astype(np.int64)
 
