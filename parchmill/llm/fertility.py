@@ -60,12 +60,13 @@ def _measures(counts: Counts, piece_path: str, byte_path: str) -> dict[str, np.n
     """The four measures and the number of pieces, by row."""
     n = counts.n
     words, row = word_array(counts.buf, counts.off, SPACED)
-    codec = vocabularies.piece_words(piece_path)
-    ids, sizes = codec(words)
-    of = np.repeat(row, sizes)
+    ids, sizes = vocabularies.counted_words(piece_path, byte_path)(words)
+    # A word's first number is that of its byte-level tokens, the others are its pieces.
+    heads = np.cumsum(sizes) - sizes
+    n_bytes_tokens = np.bincount(row, weights=ids[heads], minlength=n)
+    ids, of = np.delete(ids, heads), np.repeat(row, sizes - 1)
     n_pieces = np.bincount(of, minlength=n)
     fallback = np.bincount(of[vocabularies.piece_is_byte(piece_path)[ids]], minlength=n)
-    n_bytes_tokens = np.bincount(row, weights=vocabularies.byte_words(byte_path)(words)[1], minlength=n)
     # Entropy of each row's tokens: log2(n) - sum(c log2 c) / n over the counts c of its ids.
     keys = np.sort((of.astype(np.int64) << np.int64(32)) | ids.astype(np.int64))
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -86,8 +87,7 @@ def _bounds(lang: list, counts: Counts, bands: dict) -> tuple[list[str], dict[st
 
 
 def _forget(piece_path: str, byte_path: str) -> None:
-    vocabularies.piece_words(piece_path).forget()
-    vocabularies.byte_words(byte_path).forget()
+    vocabularies.counted_words(piece_path, byte_path).forget()
     release()
 
 

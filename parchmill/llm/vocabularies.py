@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 
 import numpy as np
 
@@ -82,28 +83,29 @@ def pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-@functools.lru_cache(maxsize=2)
-def piece_words(path: str) -> WordCodec:
-    """Words as a SentencePiece model encodes them after a space."""
-    model = pieces(path)
-    first = np.array([model.id_to_piece(i).startswith("▁") for i in range(model.get_piece_size())])
+def encode_pieces(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, ids of each word) of words as a SentencePiece model encodes them after a space."""
+    model, first = pieces(path), piece_starts(path)
+    odd = [k for k, w in enumerate(words) if "▁" in w]
+    flats, counts = [], []
+    for at in range(0, len(words), 2000):
+        part = words[at : at + 2000]
+        if odd and any(at <= k < at + len(part) for k in odd):
+            got = [np.asarray(x, np.uint32) for x in model.encode(part, num_threads=1)]
+            flats += got
+            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+            continue
+        flat = np.asarray(model.encode(" ".join(part), num_threads=1), np.uint32)
+        flats.append(flat)
+        counts.append(np.diff(np.append(np.flatnonzero(first[flat]), len(flat))))
+    return np.concatenate(flats), np.concatenate(counts)
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = [k for k, w in enumerate(words) if "▁" in w]
-        flats, counts = [], []
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            if odd and any(at <= k < at + len(part) for k in odd):
-                got = [np.asarray(x, np.uint32) for x in model.encode(part, num_threads=1)]
-                flats += got
-                counts.append(np.fromiter(map(len, got), np.int64, len(got)))
-                continue
-            flat = np.asarray(model.encode(" ".join(part), num_threads=1), np.uint32)
-            flats.append(flat)
-            counts.append(np.diff(np.append(np.flatnonzero(first[flat]), len(flat))))
-        return np.concatenate(flats), np.concatenate(counts)
 
-    return WordCodec(encode)
+@functools.lru_cache(maxsize=2)
+def piece_starts(path: str) -> np.ndarray:
+    """By piece id: whether the piece begins with a space."""
+    model = pieces(path)
+    return np.array([model.id_to_piece(i).startswith("▁") for i in range(model.get_piece_size())])
 
 
 @functools.lru_cache(maxsize=2)
@@ -116,15 +118,45 @@ def byte_ranks(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space that doesn't part words here but may do so in a vocabulary's pattern.
+INNER_SPACE = re.compile(r"[^\S ]")
+
+
+@functools.lru_cache(maxsize=2)
+def byte_lengths(path: str) -> np.ndarray:
+    """By token id: its number of bytes."""
+    with open(path, "rb") as handle:
+        found = {int(rank): len(base64.b64decode(token)) for token, rank in map(bytes.split, handle)}
+    out = np.zeros(max(found) + 1, np.int64)
+    out[list(found)] = list(found.values())
+    return out
+
+
+def count_bytes(path: str, words: list[str]) -> np.ndarray:
+    """The number of tokens of each word as a byte-level BPE encodes it after a space.
+
+    Words are encoded joined by spaces and told apart by the tokens' lengths, which is exact as
+    long as no word holds white space of its own."""
+    coder, lengths, out = byte_ranks(path), byte_lengths(path), []
+    for at in range(0, len(words), 2000):
+        part = words[at : at + 2000]
+        text = " " + " ".join(part)
+        if INNER_SPACE.search(text):
+            out.append(np.fromiter((len(coder.encode_ordinary(" " + w)) for w in part), np.int64, len(part)))
+            continue
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ends = np.cumsum(lengths[coder.encode_to_numpy(text, disallowed_special=())])
+        out.append(np.diff(np.append(0, np.searchsorted(ends, np.append(np.flatnonzero(raw == 32)[1:], len(raw)), "right"))))
+    return np.concatenate(out)
+
+
 @functools.lru_cache(maxsize=2)
-def byte_words(path: str) -> WordCodec:
-    """Words as a byte-level BPE encodes them after a space."""
-    coder = byte_ranks(path)
+def counted_words(piece_path: str, byte_path: str) -> WordCodec:
+    """Each word's number of byte-level tokens, and after it the word's piece ids."""
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [coder.encode_ordinary(" " + w) for w in words]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes
+        ids, sizes = encode_pieces(piece_path, words)
+        return np.insert(ids, np.cumsum(sizes) - sizes, count_bytes(byte_path, words).astype(np.uint32)), sizes + 1
 
     return WordCodec(encode)
 

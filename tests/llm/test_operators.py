@@ -199,6 +199,16 @@ def test_unigram_viterbi():
         assert np.isclose(known + model.worst * sum(c not in model.index for c in text), best(text))
 
 
+def test_counted_words():
+    piece, byte = vocabularies.public("piece_bpe_32k.model"), vocabularies.public("byte_bpe_50k.tiktoken")
+    words = ["don't", "a\u00a0b", "\u00a0x", "x\u2028", "▁", "a▁b", "日本", "\U0001f600!", "ß" * 300, "\x1c", "\x85z", "1234567", "<|end|>", "e\u0301"]
+    model, coder = vocabularies.pieces(piece), vocabularies.byte_ranks(byte)
+    for part in (words, [w for w in words if len(w.split()) == 1 and w.split()[0] == w], WORDS * 12):
+        ids, sizes = vocabularies.counted_words(piece, byte)(pa.array(part))
+        for w, found in zip(part, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert found.tolist() == [len(coder.encode_ordinary(" " + w)), *model.encode(w)], w
+
+
 def test_fertility(docs, empty):
     paths = vocabularies.public("piece_bpe_32k.model"), vocabularies.public("byte_bpe_50k.tiktoken")
     rows = fertility.measure(docs, *paths, min_docs=2).collect()
