@@ -52,6 +52,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def gathered(manifest: DataFrame) -> DataFrame:
+    """Run what ``manifest`` describes once and hold its rows, one a partition, on the driver: files
+    have been written then, and reading the manifest again doesn't write them again."""
+    return manifest.sparkSession.createDataFrame(manifest.collect(), manifest.schema)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more."""
     for table in tables:

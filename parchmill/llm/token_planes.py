@@ -192,8 +192,7 @@ def write(docs: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    made = ordered.mapInArrow(save, "part long, path string, n_docs long, n_tokens long, n_bytes long")
-    return storage.materialise(made, "plane-manifest")
+    return storage.gathered(ordered.mapInArrow(save, "part long, path string, n_docs long, n_tokens long, n_bytes long"))
 
 
 def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:

@@ -218,7 +218,8 @@ def read_archive(handle, with_payload: bool = True, block: int = BLOCK) -> Itera
 
 
 def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """Write the pages to archives under ``out``; the manifest has path and n_records of each."""
+    """Write the pages to archives under ``out``; the manifest has path and n_records of each, one
+    row a partition at most."""
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     groups = rows.where((F.length("payload") >= revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
@@ -245,7 +246,7 @@ def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "u
             file.__exit__(None, None, None)
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [n]})
 
-    return storage.materialise(joined.mapInArrow(save, "path string, n_records long"), "warc-manifest")
+    return storage.gathered(joined.mapInArrow(save, "path string, n_records long"))
 
 
 def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
