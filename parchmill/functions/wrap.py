@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,36 +26,53 @@ def width(text: str) -> int:
     return len(plain) + len(_WIDE.findall(plain))
 
 
-def _chunks(token: str, most: int) -> list[str]:
-    """A token too wide for a line, cut; marks of no width stay with what they follow."""
-    out, used = [""], 0
-    for c in token:
-        w = width(c)
-        if w and out[-1] and used + w > most:
-            out.append("")
-            used = 0
-        out[-1] += c
-        used += w
+def _end(sums: list[int], begin: int, most: int) -> int:
+    """The end of the longest run from ``begin`` that is no wider than ``most``, by running sums."""
+    return bisect_right(sums, sums[begin] + most) - 1
+
+
+def _parts(token: str, most: int) -> list[str]:
+    """A token wider than a line in parts that fit; marks of no width stay with what they follow."""
+    sums, begin, out = [0, *accumulate(map(width, token))], 0, []
+    while begin < len(token):
+        end = max(begin + 1, _end(sums, begin, most))
+        out.append(token[begin:end])
+        begin = end
     return out
 
 
+def _blank(text: str) -> bool:
+    return not text.strip(_STRIP)
+
+
+def _filled(tokens: list[str], most: int) -> list[str]:
+    """Lines of tokens that each fit in one: a line takes the tokens that its running width allows,
+    and signs that may not begin the next one.  Blanks alone are no line yet, and a blank that
+    would begin a line is dropped."""
+    sums, begin, out = [0, *accumulate(map(width, tokens))], 0, []
+    while True:
+        first = next((k for k in range(begin, len(tokens)) if not _blank(tokens[k])), len(tokens))
+        end = min(len(tokens), max(first + 1, _end(sums, begin, most)))
+        while end < len(tokens) and tokens[end] in NO_START:
+            end += 1
+        out.append("".join(tokens[begin:end]).rstrip(_STRIP))
+        if end >= len(tokens):
+            return out
+        begin = end + _blank(tokens[end])
+
+
 def wrap(text: str, columns: int) -> list[str]:
     most, out = max(LEAST_WIDTH, columns), []
-    blank = lambda s: not s.strip(_STRIP)
     for paragraph in text.split("\n"):
-        line = ""
+        held: list[str] = []
         for token in TOKEN.findall(paragraph):
-            if width(token) > most:
-                if not blank(line):
-                    out.append(line.rstrip(_STRIP))
-                *full, line = _chunks(token, most)
-                out += full
-            elif width(line) + width(token) > most and not blank(line) and token not in NO_START:
-                out.append(line.rstrip(_STRIP))
-                line = "" if blank(token) else token
+            if width(token) <= most:
+                held.append(token)
             else:
-                line += token
-        out.append(line.rstrip(_STRIP))
+                lines, (*whole, rest) = _filled(held, most), _parts(token, most)
+                out += [x for k, x in enumerate(lines) if x or k < len(lines) - 1] + whole
+                held = [rest]
+        out += _filled(held, most)
     return out
 
 
