@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.functions.lexicon import CITIES, DEGREES, SKILLS
@@ -57,24 +57,53 @@ def skill_pattern(skill: str) -> str:
     return rf"(?i)(^|[^A-Za-z0-9+#.]){re.sub(r'([^A-Za-z0-9 ])', r'\\\1', skill)}([^A-Za-z0-9+#]|\z)"
 
 
-def mentions(text: Column, lowered: Column, skill: str) -> Column:
-    """Whether a text mentions a skill: ASCII terms by word boundary (behind a cheap literal
-    test), others as they stand."""
-    if not skill.isascii():
-        return F.contains(text, F.lit(skill))
-    return F.contains(lowered, F.lit(skill.lower())) & text.rlike(skill_pattern(skill))
+def _mentioned(text: Column, terms: Column) -> Column:
+    """The names of the terms that a text mentions, in order: ASCII terms by word boundary (behind a
+    cheap literal test), others as they stand.  The text is lower-cased once."""
 
+    def holds(lowered: Column, term: Column) -> Column:
+        literal = F.contains(F.when(term["ascii"], lowered).otherwise(text), term["literal"])
+        return literal & F.when(term["ascii"], F.regexp_like(text, term["pattern"])).otherwise(F.lit(True))
+
+    found = F.transform(F.array(F.lower(text)), lambda lowered: F.filter(terms, lambda term: holds(lowered, term)))
+    return F.transform(F.element_at(found, 1), lambda term: term["name"])
 
-def skills(text: Column, vocabulary: list[str] = SKILLS) -> Column:
-    """Skills in the order of the vocabulary; broader names go if the narrower one is there."""
-    lowered = F.lower(text)
 
-    def kept(skill: str) -> Column:
-        found = mentions(text, lowered, skill)
-        other = SUPPRESSED_BY.get(skill)
-        return found & ~mentions(text, lowered, other) if other in vocabulary else found
+def _narrowed(found: Column) -> Column:
+    """Broader names go if the narrower one is there."""
+    for broad, narrow in SUPPRESSED_BY.items():
+        found = F.when(F.array_contains(found, narrow), F.array_remove(found, broad)).otherwise(found)
+    return found
 
-    return F.array_compact(F.array(*(F.when(kept(s), F.lit(s)) for s in vocabulary)))
+
+def skills(text: Column, vocabulary: list[str] = SKILLS) -> Column:
+    """Skills in the order of the vocabulary, an empty array without any or for a null text."""
+    term = lambda s: F.struct(F.lit(s).alias("name"), F.lit(s.lower() if s.isascii() else s).alias("literal"), F.lit(skill_pattern(s)).alias("pattern"), F.lit(s.isascii()).alias("ascii"))
+    return _narrowed(F.coalesce(_mentioned(text, F.array(*map(term, vocabulary))), F.array().cast("array<string>")))
+
+
+#: Terms of a lexicon table at most: it reaches every task as one array.
+MAX_TERMS = 20_000
+
+
+def skill_rows(docs: DataFrame, text_col: str, lexicon: DataFrame, term_col: str = "skill") -> DataFrame:
+    """``docs`` with each term of a lexicon table that its text mentions, one row a match, in a column
+    ``skill``.  The lexicon may have ``MAX_TERMS`` different terms, which is checked; null and empty
+    terms match nothing."""
+    terms = lexicon.select(F.col(term_col).alias("name")).where(F.length("name") > 0).distinct()
+    n = terms.limit(MAX_TERMS + 1).count()
+    if n > MAX_TERMS:
+        raise ValueError(f"over {MAX_TERMS} terms")
+    ascii_ = ~F.col("name").rlike(r"[^\x00-\x7F]")
+    escaped = F.regexp_replace("name", r"([^A-Za-z0-9 ])", r"\\$1")
+    edge = skill_pattern("x").split("x", 1)
+    made = terms.select(F.struct("name", F.when(ascii_, F.lower("name")).otherwise(F.col("name")).alias("literal"), F.concat(F.lit(edge[0]), escaped, F.lit(edge[1])).alias("pattern"), ascii_.alias("ascii")).alias("term"))
+    key = "terms"
+    while key in docs.columns:
+        key += "_"
+    whole = docs.crossJoin(F.broadcast(made.agg(F.sort_array(F.collect_list("term")).alias(key))))
+    found = whole.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode_outer(_mentioned(F.col(text_col), F.col(key))).alias("skill"))
+    return found.where(F.col("skill").isNotNull())
 
 
 def name(text: Column) -> Column:
