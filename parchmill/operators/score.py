@@ -30,20 +30,30 @@ def job_features(jobs: DataFrame, text: Column) -> DataFrame:
     return jobs.select("*", extract.skills(text).alias("required"), F.coalesce(extract.stated_years(text), F.lit(DEFAULT_YEARS)).alias("required_years"), F.coalesce(extract.degree_level(text), F.lit(DEFAULT_LEVEL)).alias("required_level"))
 
 
-def pairs(people: DataFrame, jobs: DataFrame, max_broadcast: int = MAX_BROADCAST_JOBS, max_bytes: int = MAX_BROADCAST_BYTES, block: int = 1000) -> DataFrame:
+def _free(name: str, *frames: DataFrame) -> str:
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def pairs(people: DataFrame, jobs: DataFrame, max_broadcast: int = MAX_BROADCAST_JOBS, max_bytes: int = MAX_BROADCAST_BYTES, block: int = 1000, sized_by: DataFrame | None = None) -> DataFrame:
     """Each candidate with each job description: the jobs are the query set.  They are broadcast
     up to a checked count and size.  Beyond it both sides meet by blocks of jobs, and candidates
-    are salted, so that no task holds all candidates of a block."""
-    found = jobs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    are dealt to salts row by row (equal rows too), so that no task holds all candidates of a block.
+
+    ``sized_by``: the rows that the jobs were made of, if these are cheaper to count."""
+    found = (jobs if sized_by is None else sized_by).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
     if found["n"] <= max_broadcast and found["size"] <= max_bytes:
         return people.crossJoin(F.broadcast(jobs))
     blocks = max(-(-found["n"] // block), -(-found["size"] // max_bytes))
     salts = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
-    left = people.withColumn("_salt", dealt(people, salts)).withColumn("_block", every(blocks))
-    right = jobs.withColumn("_block", dealt(jobs, blocks)).withColumn("_salt", every(salts))
-    return left.join(right, ["_block", "_salt"]).drop("_block", "_salt")
+    salt, part = _free("salt", people, jobs), _free("block", people, jobs)
+    dealt = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    left = people.withColumn(salt, dealt(salts)).withColumn(part, every(blocks))
+    right = jobs.withColumn(part, dealt(blocks)).withColumn(salt, every(salts))
+    return left.join(right, [part, salt]).drop(part, salt)
 
 
 def _clamp(c: Column) -> Column:
@@ -86,9 +96,31 @@ def questions() -> Column:
     return F.slice(F.concat(about, F.array_compact(F.array(short, F.lit(PROJECT_QUESTION), full))), 1, 5)
 
 
-def rank(scored: DataFrame, job: str, person: str, top: int | None = None) -> DataFrame:
-    """Candidates of each job by overall score, ties by id.  With ``top`` Spark limits each
-    group before the shuffle, so no task holds all candidates of a job."""
-    order = Window.partitionBy(job).orderBy(F.desc("overall_score"), F.asc(person))
-    out = scored.withColumn("rank", F.row_number().over(order))
-    return out if top is None else out.where(F.col("rank") <= top)
+#: Ranges of candidates that equal scores are counted by.
+RANGES = 64
+
+
+def rank(scored: DataFrame, job: str, person: str, top: int | None = None, ranges: int = RANGES) -> DataFrame:
+    """Candidates of each job by overall score, ties by id, all of them or the ``top`` first.
+
+    With ``top`` Spark limits each group before the shuffle.  Without it no task holds all
+    candidates of a job: they are counted by job, score (a thousand values) and range of ids,
+    the counts are summed up in order of rank, and only rows of equal job, score and range
+    are numbered together."""
+    order = [F.desc("overall_score"), F.asc(person)]
+    if top is not None:
+        numbered = scored.withColumn("rank", F.row_number().over(Window.partitionBy(job).orderBy(*order)))
+        return numbered.where(F.col("rank") <= top)
+    # Ranges by a sample of ids that is the same on every run.
+    sample = sorted(r[0] for r in scored.select(person).distinct().orderBy(F.xxhash64(person), person).limit(ranges * 32).collect() if r[0] is not None)
+    cuts = sorted(set(sample[len(sample) // ranges :: max(1, len(sample) // ranges)]))
+    part, before, at = (_free(x, scored) for x in ("id_range", "before", "score_key"))
+    kind = scored.schema[person].dataType
+    place = F.aggregate(F.array(*(F.lit(c).cast(kind) for c in cuts)), F.lit(0), lambda n, c: n + F.coalesce((c <= F.col(person)).cast("int"), F.lit(0))) if cuts else F.lit(0)
+    rows = scored.withColumns({part: place, at: F.col("overall_score")})
+    counts = rows.groupBy(job, at, part).agg(F.count("*").alias("n"))
+    sums = Window.partitionBy(job).orderBy(F.desc(at), F.asc(part))
+    counts = counts.select(F.col(job).alias("of_job"), F.col(at).alias("of_score"), F.col(part).alias("of_range"), (F.sum("n").over(sums) - F.col("n")).alias(before))
+    joined = rows.join(counts, F.col(job).eqNullSafe(F.col("of_job")) & F.col(at).eqNullSafe(F.col("of_score")) & (F.col(part) == F.col("of_range"))).drop("of_job", "of_score", "of_range")
+    within = F.row_number().over(Window.partitionBy(job, at, part).orderBy(F.asc(person)))
+    return joined.withColumn("rank", (within + F.col(before)).cast("int")).drop(part, before, at)
