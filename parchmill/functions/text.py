@@ -19,6 +19,8 @@ COMPAT_SET = "\u2e80-\u2fdf\uf900-\ufaff\uff01-\uff5e\uff66-\uffdc"
 ZERO_WIDTH = "\u0300-\u036f\u200b-\u200f\ufe00-\ufe0f\ufe20-\ufe2f\U0001f3fb-\U0001f3ff"
 WIDE = "\u1100-\u115f\u2329\u232a\u2e80-\u303e\u3040-\ua4cf\uac00-\ud7a3\uf900-\ufaff\ufe30-\ufe6f\uff00-\uff60\uffe0-\uffe6\U0001f300-\U0001f64f\U0001f680-\U0001f6ff\U0001f900-\U0001f9ff\U0001fa70-\U0001faff\U00020000-\U0003fffd"
 ANSI = "\x1b\\[[0-9;]*m"
+CUT_BEFORE = "\n\n[注意：原文共 "
+CUT_AFTER = " 字符，因超出单次请求上限，以上仅为前 {} 字符，其余内容已被截断。请只依据已给出的内容作答，不要推测或补全被截断的部分。]"
 # End of the fixed values.
 
 SPACE = f"[{SPACE_SET}]"
@@ -141,7 +143,7 @@ def clamp_input(c: Column, limit: int) -> Column:
     """text (cut at ``limit`` code points, with a note), original_chars, used_chars, truncated."""
     size = F.length(c)
     cut = size > limit
-    note = F.concat(F.lit("\n\n[注意：原文共 "), size.cast("string"), F.lit(f" 字符，因超出单次请求上限，以上仅为前 {limit} 字符，其余内容已被截断。请只依据已给出的内容作答，不要推测或补全被截断的部分。]"))
+    note = F.concat(F.lit(CUT_BEFORE), size.cast("string"), F.lit(CUT_AFTER.format(limit)))
     return F.struct(
         F.when(cut, F.concat(F.left(c, F.lit(limit)), note)).otherwise(c).alias("text"), size.alias("original_chars"), F.when(cut, F.lit(limit)).otherwise(size).alias("used_chars"), cut.alias("truncated")
     )

@@ -34,7 +34,7 @@ def parse(docs: DataFrame) -> DataFrame:
     pages = F.transform("pages", lambda page: F.array_join(layout.lines(page), "\n"))
     found = docs.select("path", "bytes", F.size("pages").alias("pages"), text.clean(F.array_join(pages, "\n\n")).alias("text"), metadata(F.col("info")).alias("metadata"))
     scan = files.suspected_scan(F.col("text"), F.col("pages"))
-    return found.select("path", "bytes", "pages", F.length("text").alias("chars"), "metadata", scan.alias("suspectedScanned"), "text", files.text_error(F.col("text"), F.col("pages")).alias("error_code"))
+    return found.select("path", "bytes", "pages", F.length("text").alias("chars"), "metadata", scan.alias("suspectedScanned"), "text", files.text_error(F.col("text")).alias("error_code"))
 
 
 def _answers(rows: DataFrame, responses: DataFrame, keys: list[str], coerced, fields: list[str], shape: str) -> DataFrame:
