@@ -21,6 +21,9 @@ from parchmill.streaming import events
 
 FLAGSHIP = "rank_candidates_per_jd"
 AS_OF = 2025
+#: Lines of a preview.
+PREVIEW = 40
+#: Candidates of a job in the short report.
 TOP = 10
 
 _SOME = {"Python": 2, "JavaScript": 3, "Java": 5, "TypeScript": 4, "Go": 7, "React": 3, "Vue.js": 6, "Vue": 4, "Node.js": 5, "Docker": 6, "Kubernetes": 7, "PostgreSQL": 4, "C++": 9, "大模型": 5, "机器学习": 8}
@@ -59,13 +62,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, table: str, key: str, source: str) -> DataFrame:
+    """The key and the derived text ``t`` of each row.  Candidates are made of few bytes, one file of
+    which must not hold all pattern work in one task: their rows are dealt out before it is made."""
+    rows = _table(spark, sf_dir, table)
+    return (rows.repartition(key) if table == "customer" else rows).select(key, F.expr(source).alias("t"))
+
+
 def _rows(name: str, table: str, source: str, key: str, columns: Callable[[Column], dict[str, Column]], sql: str | None) -> None:
     """Register a query of columns over one derived text a row, called ``t``.
 
     Columns are made when the query runs, as making them needs a session."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _table(spark, sf_dir, table).select(key, F.expr(source).alias("t")).select(key, *(c.alias(n) for n, c in columns(F.col("t")).items()))
+        return _texts(spark, sf_dir, table, key, source).select(key, *(c.alias(n) for n, c in columns(F.col("t")).items()))
 
     QUERIES[name] = run
     if sql is not None:
@@ -87,9 +97,9 @@ for _sign, _letters in text.LIGATURES.items():
 _FOLD = lambda x: f"translate({x}, {_LIT(text.COMPAT_FROM)}, {_LIT(text.COMPAT_TO)})"
 _SQUEEZE = lambda x: _TRIM(f"regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), ' ?\n ?', '\n', 'g'), '\n{{3,}}', '\n\n', 'g')")
 _rows("clean_text", "documents", NOISY, "doc_id", lambda T: {"cleaned": text.clean(T)}, f"SELECT doc_id, {_SQUEEZE(_FOLD(_ARTIFACTS))} AS cleaned FROM s")
-_rows("compat_chars", "documents", NOISY, "doc_id", lambda T: {"folded": F.left(text.fold_compat(T), F.lit(40)), "needs": text.needs_folding(T)}, f"SELECT doc_id, left({_FOLD('t')}, 40) AS folded, regexp_matches(t, {_q(f'[{text.COMPAT_SET}]')}) AS needs FROM s")
+_rows("compat_chars", "documents", NOISY, "doc_id", lambda T: {"folded": text.fold_compat(T), "needs": text.needs_folding(T)}, f"SELECT doc_id, {_FOLD('t')} AS folded, regexp_matches(t, {_q(f'[{text.COMPAT_SET}]')}) AS needs FROM s")
 _rows("artifact_repair", "documents", NOISY, "doc_id", lambda T: {"repaired": text.repair_artifacts(T)}, f"SELECT doc_id, {_ARTIFACTS} AS repaired FROM s")
-_rows("whitespace_norm", "documents", NOISY, "doc_id", lambda T: {"n": F.length(text.normalize_space(T))}, f"SELECT doc_id, length({_SQUEEZE('t')}) AS n FROM s")
+_rows("whitespace_norm", "documents", NOISY, "doc_id", lambda T: {"spaced": text.normalize_space(T)}, f"SELECT doc_id, {_SQUEEZE('t')} AS spaced FROM s")
 _rows("utf16_length", "documents", NOISY, "doc_id", lambda T: {"n": text.utf16_length(T)}, "SELECT doc_id, length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10ffff}]', '', 'g')) AS n FROM s")
 
 # --- extraction ---------------------------------------------------------------------------
@@ -134,17 +144,29 @@ f AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, school ORDER BY i) AS
 SELECT c_custkey, ord, school, major, degree, graduation_time FROM (
   SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY i) - 1 AS INT) AS ord, school, CASE WHEN major <> school THEN major END AS major, degree, CASE WHEN d IS NOT NULL THEN {_DATE("d")} END AS graduation_time FROM f WHERE k = 1) WHERE ord < 5"""
 
-_rows("profile", "customer", RESUME, "c_custkey", lambda T: (lambda P: {"name": P["name"], "phone": P["phone"], "email": P["email"], "city": P["city"], "n_education": F.size(P["education"]), "n_skills": F.size(P["skills"])})(extract.profile(T)),
-      f"SELECT c_custkey, {_NAME} AS name, {_PHONE} AS phone, {_EMAIL} AS email, {_CITY} AS city, CAST((CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 3 = 1 THEN 1 ELSE 0 END) + (CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END) AS INT) AS n_education, CAST(len({_SKILLS}) AS INT) AS n_skills FROM s")
+_FIELDS = ("school", "major", "degree", "graduation_time")
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _texts(spark, sf_dir, "customer", "c_custkey", RESUME).select("c_custkey", extract.profile(F.col("t")).alias("p"))
+    schools = F.transform("p.education", lambda e: F.concat_ws("|", *(F.coalesce(e[f], F.lit("")) for f in _FIELDS)))
+    return found.select("c_custkey", "p.name", "p.phone", "p.email", "p.city", F.array_join(schools, ";").alias("education"), F.array_join("p.skills", ",").alias("skills"))
+
+
+QUERIES["profile"] = _profile
+ORACLES["profile"] = f"""
+WITH s AS (SELECT c_custkey, {RESUME} AS t FROM customer),
+education AS ({ORACLES["education_extract"]}),
+schools AS (SELECT c_custkey, string_agg(concat({", '|', ".join(f"coalesce({f}, '')" for f in _FIELDS)}), ';' ORDER BY ord) AS education FROM education GROUP BY c_custkey)
+SELECT c_custkey, {_NAME} AS name, {_PHONE} AS phone, {_EMAIL} AS email, {_CITY} AS city, coalesce(education, '') AS education, array_to_string({_SKILLS}, ',') AS skills
+FROM s LEFT JOIN schools USING (c_custkey)"""
 
 
 # --- matching -----------------------------------------------------------------------------
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(RESUME).alias("t"))
+    people = score.candidate_features(_texts(spark, sf_dir, "customer", "c_custkey", RESUME), F.col("t"), AS_OF).drop("t")
     jobs = _table(spark, sf_dir, "nation").select("n_nationkey", F.expr(JOB).alias("t"))
-    # One small file must not hold all candidates' pattern work in one task.
-    people = score.candidate_features(people.repartition("c_custkey"), F.col("t"), AS_OF).drop("t")
-    return score.match(score.pairs(people, score.job_features(jobs, F.col("t")).drop("t")))
+    return score.match(score.pairs(people, score.job_features(jobs, F.col("t")).drop("t"), sized_by=jobs))
 
 
 _NUM = lambda x: f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
@@ -173,21 +195,27 @@ _pairs_query("match_comment", lambda: [score.comment().alias("comment")], f"{_CO
 _QUESTIONS = f"""list_concat(list_transform(missing[1:2], lambda x: concat('简历中没有体现 ', x, ' 相关经验，请介绍你对该技术的了解，以及如果项目需要你会如何上手？')),
   list_filter([CASE WHEN years < required_years THEN concat('岗位期望 ', CAST(required_years AS VARCHAR), ' 年以上经验，你目前约 ', CAST(years AS VARCHAR), ' 年，请举例说明你如何在更短时间内承担同等复杂度的任务？') END, '{score.PROJECT_QUESTION}', CASE WHEN len(missing) = 0 THEN '{score.QUALITY_QUESTION}' END], lambda x: x IS NOT NULL))"""
 _pairs_query("interview_questions", lambda: [F.array_join(score.questions(), "\n").alias("questions")], f"array_to_string({_QUESTIONS}, chr(10)) AS questions")
-_pairs_query("match_report", lambda: [F.col("overall_score"), F.col("skill_score"), score.comment().alias("comment"), F.size(score.questions()).alias("n_questions")], f"overall_score, skill_score, {_COMMENT} AS comment, CAST(len({_QUESTIONS}) AS INT) AS n_questions")
-QUERIES["rank_candidates_per_jd"] = lambda spark, sf_dir: score.rank(_scored(spark, sf_dir), "n_nationkey", "c_custkey", TOP).select("n_nationkey", "rank", "c_custkey", "overall_score")
-ORACLES["rank_candidates_per_jd"] = f"{_MATCH} SELECT n_nationkey, CAST(rank AS INT) AS rank, c_custkey, overall_score FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY overall_score DESC, c_custkey) AS rank FROM r) WHERE rank <= {TOP}"
+_pairs_query("match_report", lambda: [F.col("overall_score"), F.col("skill_score"), score.comment().alias("comment"), F.array_join(score.questions(), "\n").alias("questions")], f"overall_score, skill_score, {_COMMENT} AS comment, array_to_string({_QUESTIONS}, chr(10)) AS questions")
+
+
+def _ranked(top: int | None) -> Query:
+    return lambda spark, sf_dir: score.rank(_scored(spark, sf_dir), "n_nationkey", "c_custkey", top).select("n_nationkey", "rank", "c_custkey", "overall_score")
+
+
+_RANKED = f"{_MATCH} SELECT n_nationkey, CAST(rank AS INT) AS rank, c_custkey, overall_score FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY overall_score DESC, c_custkey) AS rank FROM r)"
+QUERIES |= {"rank_candidates_per_jd": _ranked(None), "top_candidates_per_jd": _ranked(TOP)}
+ORACLES |= {"rank_candidates_per_jd": _RANKED, "top_candidates_per_jd": f"{_RANKED} WHERE rank <= {TOP}"}
 
 
 def _skill_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The skills of the lexicon as rows: exploded from the array, no join of texts and terms."""
-    people = _table(spark, sf_dir, "customer").repartition("c_custkey").select("c_custkey", F.expr(RESUME).alias("t"))
-    # An outer explode: an inner one infers a filter on the array, which doubles the pattern work.
-    found = people.select("c_custkey", F.explode_outer(extract.skills(F.col("t"))).alias("skill")).where("skill IS NOT NULL")
+    """Candidates by mentioned term of a lexicon table (here the built-in list)."""
+    lexicon = spark.createDataFrame([(x,) for x in SKILLS], "skill string")
+    found = extract.skill_rows(_texts(spark, sf_dir, "customer", "c_custkey", RESUME), "t", lexicon)
     return found.groupBy("skill").agg(F.count("*").alias("candidates"), F.min("c_custkey").alias("first"))
 
 
 QUERIES["skill_detect_join"] = _skill_join
-ORACLES["skill_detect_join"] = f"WITH s AS (SELECT c_custkey, {RESUME} AS t FROM customer) SELECT skill, count(*) AS candidates, min(c_custkey) AS first FROM (SELECT c_custkey, unnest({_SKILLS}) AS skill FROM s) GROUP BY skill"
+ORACLES["skill_detect_join"] = f"WITH s AS (SELECT c_custkey, {RESUME} AS t FROM customer) SELECT skill, count(*) AS candidates, min(c_custkey) AS first FROM (SELECT c_custkey, unnest({_ALL}) AS skill FROM s) GROUP BY skill"
 
 # --- JSON ---------------------------------------------------------------------------------
 _VALUE = "CASE event_id % 10 WHEN 9 THEN NULL WHEN 7 THEN concat('{\"k\":', n, ',\"b\":true}') ELSE concat('{\"k\":', n, '}') END"
@@ -197,10 +225,52 @@ _rows("json_repair_value", "events", DAMAGED, "event_id", lambda T: {"value": js
 ORACLES["json_repair_value"] = f"SELECT event_id, {_VALUE} AS value FROM (SELECT event_id, {_NUMBER} AS n FROM events)"
 _rows("json_repair_log", "events", DAMAGED, "event_id", lambda T: {"repairs": F.array_join(jsonfix.repaired(T)["repairs"], ","), "ok": jsonfix.repaired(T)["ok"]}, f"SELECT event_id, {_LABEL} AS repairs, event_id % 10 <> 9 AS ok FROM s")
 
+#: Text, its value (None: it can't be repaired) and the steps that changed it.
+_CASES = [
+    ('{"a":1}', '{"a":1}', ""),
+    (chr(0xFEFF) + ' {"a": [1, 2.50, 1e2, -0.0]} ', '{"a":[1,2.5,100,0]}', ""),
+    ('{"a":0.00001,"b":1e-7,"c":1152921504606846976,"d":1e21,"e":123456789.125}', '{"a":0.00001,"b":1e-7,"c":1152921504606847000,"d":1e+21,"e":123456789.125}', ""),
+    ("[" + "9" * 400 + ",1e999]", "[null,null]", ""),
+    ('{"a":"' + chr(92) + 'ud800x"}', '{"a":"' + chr(0xFFFD) + 'x"}', ""),
+    ('{"a":"' + chr(92) + "ud83d" + chr(92) + 'ude00"}', '{"a":"' + chr(0x1F600) + '"}', ""),
+    ("[" * 3000 + "]" * 3000, "[" * 3000 + "]" * 3000, ""),
+    ("[" * 200_000, None, "truncated"),
+    ('```json\n{"a":1}\n```', '{"a":1}', "fence"),
+    ('```\n[1]\n```', "[1]", "fence"),
+    ("{“a”：“b”，“c”：1}", '{"a":"b","c":1}', "fullwidth"),
+    ('Here it is: {"a":"}{"} and more', '{"a":"}{"}', "fragment"),
+    ('{"a":1, // one\n"b":"//no"}', '{"a":1,"b":"//no"}', "comments"),
+    ('{"a":1 /* one\n two */}', '{"a":1}', "comments"),
+    ("{'a':'it" + chr(92) + "'s','b':\"don't\"}", '{"a":"it\'s","b":"don\'t"}', "quotes"),
+    ('{"a":[1,2,],}', '{"a":[1,2]}', "commas"),
+    ('{"a":"x\ty\nz\r"}', '{"a":"x' + chr(92) + "ty" + chr(92) + 'nz"}', "controls"),
+    ('{"a":True,"b":False,"c":None,"d":NaN,"e":"None"}', '{"a":true,"b":false,"c":null,"d":null,"e":"None"}', "literals"),
+    ('{"a":1,"b":[1,2', '{"a":1,"b":[1]}', "truncated"),
+    ('{"a":"b","c":"cut', '{"a":"b"}', "truncated"),
+    ("```json\n{'a':1,}\n```", '{"a":1}', "fence,quotes,commas"),
+    ("nothing at all", None, ""),
+    ("", None, ""),
+    (None, None, ""),
+]
+
+
+def _json_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.createDataFrame([(k, c[0]) for k, c in enumerate(_CASES)], "id int, raw string").repartition(3)
+    done = raw.select("id", jsonfix.repaired(F.col("raw")).alias("r"))
+    return done.select("id", F.col("r.value").alias("value"), F.array_join("r.repairs", ",").alias("repairs"), F.col("r.ok").alias("ok"))
+
+
+QUERIES["json_repair_cases"] = _json_cases
+
 _PROFILES = [
     ('{"name": " A ", "email": "bad", "education": {"university": "U", "subject": 3}, "skills": "x, y；z"}', ("A", "bad", 1, "x,y,z", "education 不是数组，已包装为单元素数组;skills 是字符串，已按分隔符拆成 3 项;邮箱格式可能不合法：bad")),
     ('{"name": null, "education": null, "skills": [1, " ", "q"]}', (None, None, 0, "q", "education 为 null，已置为空数组;skills 中有 2 项不是有效文本，已忽略;未能从简历中提取到姓名;未提取到任何教育经历")),
     ('{"name": 7, "email": "a@b.c", "education": [5, {"school": ""}], "skills": {"a": 1}}', ("7", "a@b.c", 1, "", "education[0] 不是对象（收到 number），已跳过;skills 的类型不是数组（收到 object），已置为空列表;未提取到任何技能")),
+    ('{"name": 0.00001, "email": 1152921504606846976, "education": "", "skills": "a"}', ("0.00001", "1152921504606847000", 0, "a", "邮箱格式可能不合法：1152921504606847000;未提取到任何教育经历")),
+    ('{"name": true, "email": ["x"], "education": "本科", "skills": ""}', ("true", None, 0, "", "education 的类型是 string，不是数组或对象，已忽略该字段;未提取到任何教育经历;未提取到任何技能")),
+    ('{"name": "B", "education": 3, "skills": 7}', ("B", None, 0, "", "education 的类型是 number，不是数组或对象，已忽略该字段;skills 的类型不是数组（收到 number），已置为空列表;未提取到任何教育经历;未提取到任何技能")),
+    ('{"name": "C", "education": {}, "skills": [' + ", ".join(f'"s{k}"' for k in range(21)) + "]}", ("C", None, 1, ",".join(f"s{k}" for k in range(21)), "education 不是数组，已包装为单元素数组;skills 有 21 项，超过约定的 20 项上限（未裁剪，如需收敛请在调用侧处理）")),
+    ('{"name": "' + chr(92) + 'udfff", "education": [{}], "skills": ["' + chr(92) + 'ud800"]}', (chr(0xFFFD), None, 1, chr(0xFFFD), "")),
     ("[1]", (None, None, None, None, "AI_INVALID_SHAPE")),
     ('{"name":', (None, None, None, None, "AI_INVALID_JSON")),
 ]
@@ -208,15 +278,19 @@ _REPORTS = [
     ('{"overall_score": "85分", "skill_score": 82.75, "experience_score": 120, "education_score": -3, "comment": "ok", "interview_questions": ["a", "b"]}', (85.0, 82.8, 100.0, 0.0, "ok", 2, "overall_score 是字符串（85分），已解析为数值;skill_score 已四舍五入到一位小数;experience_score 为 120，已夹取到上限 100;education_score 为 -3，已夹取到下限 0")),
     ('{"overall_score": true, "skill_score": 1, "experience_score": 2, "education_score": 3, "reason": " r ", "questions": "p"}', (0.0, 1.0, 2.0, 3.0, "r", 1, "overall_score 不是有效数字，已置为 0")),
     ('{"skill_score": 1, "experience_score": 2, "education_score": 3}', (0.0, 1.0, 2.0, 3.0, "", 0, 'overall_score 缺失，已置为 0;overall_score 不是有效数字，已置为 0;缺少评分理由（comment），建议在提示词中强调"必须给出理由"')),
+    ('{"overall_score": ' + "9" * 400 + ', "skill_score": "' + "9" * 400 + '", "experience_score": 1e400, "education_score": 99.96, "summary": 5, "interviewQuestions": ["a", 1]}', (0.0, 0.0, 0.0, 100.0, "5", 1, "overall_score 不是有效数字，已置为 0;skill_score 是字符串（" + "9" * 400 + "），已解析为数值;skill_score 不是有效数字，已置为 0;experience_score 不是有效数字，已置为 0;education_score 已四舍五入到一位小数;interview_questions 中有 1 项不是有效文本，已忽略")),
     ('"x"', (None, None, None, None, None, None, "AI_INVALID_SHAPE")),
 ]
 
 
 def _values(rows: list[tuple], names: list[str]) -> str:
-    cell = lambda x: "NULL" if x is None else _LIT(x) if isinstance(x, str) else str(x) if isinstance(x, int) else f"CAST({x} AS DOUBLE)"
+    cell = lambda x: "NULL" if x is None else _LIT(x) if isinstance(x, str) else str(x) if isinstance(x, int) and not isinstance(x, bool) else str(x).lower() if isinstance(x, bool) else f"CAST({x} AS DOUBLE)"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({', '.join(names)})"
 
 
+ORACLES["json_repair_cases"] = _values([(k, value, ",".join(jsonfix.LABELS[x] for x in steps.split(",") if x), value is not None) for k, (_, value, steps) in enumerate(_CASES)], ["id", "value", "repairs", "ok"])
+
+
 def _note(c: Column) -> Column:
     return F.coalesce(c["error_code"], F.array_join(c["warnings"], ";"))
 
@@ -255,22 +329,48 @@ def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["layout_lines"] = _layout
 ORACLES["layout_lines"] = _values([(k, e) for k, (_, e) in enumerate(_PAGES)], ["id", "page"])
 
-_rows("budget_clamp", "documents", "text", "doc_id", lambda T: {"original_chars": text.clamp_input(T, 8000)["original_chars"], "used_chars": text.clamp_input(T, 8000)["used_chars"], "truncated": text.clamp_input(T, 8000)["truncated"], "n": F.length(text.clamp_input(T, 8000)["text"])},
-      "SELECT doc_id, length(t) AS original_chars, least(length(t), 8000) AS used_chars, length(t) > 8000 AS truncated, CASE WHEN length(t) > 8000 THEN 8000 + length(concat(chr(10), chr(10), '[注意：原文共 ', CAST(length(t) AS VARCHAR), ' 字符，因超出单次请求上限，以上仅为前 8000 字符，其余内容已被截断。请只依据已给出的内容作答，不要推测或补全被截断的部分。]')) ELSE length(t) END AS n FROM s")
+_CLAMPED = lambda n: f"CASE WHEN length(t) > {n} THEN concat(left(t, {n}), {_LIT(text.CUT_BEFORE)}, CAST(length(t) AS VARCHAR), {_LIT(text.CUT_AFTER.format(n))}) ELSE t END"
+_rows("budget_clamp", "documents", "text", "doc_id", lambda T: {"original_chars": text.clamp_input(T, 8000)["original_chars"], "used_chars": text.clamp_input(T, 8000)["used_chars"], "truncated": text.clamp_input(T, 8000)["truncated"], "shown": text.clamp_input(T, 8000)["text"]},
+      f"SELECT doc_id, length(t) AS original_chars, least(length(t), 8000) AS used_chars, length(t) > 8000 AS truncated, {_CLAMPED(8000)} AS shown FROM s")
 
 
 def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 40)).alias("pos", "line"))
-    return lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.left("line", F.lit(60)).alias("line"))
+    return lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), "line")
 
 
 QUERIES["line_preview"] = _preview
-ORACLES["line_preview"] = "SELECT doc_id, CAST(i AS INT) AS line_no, left(string_split(text, chr(10))[i], 60) AS line FROM (SELECT doc_id, text, unnest(generate_series(1, least(40, len(string_split(text, chr(10)))))) AS i FROM documents)"
+ORACLES["line_preview"] = "SELECT doc_id, CAST(i AS INT) AS line_no, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(generate_series(1, least(40, len(string_split(text, chr(10)))))) AS i FROM documents)"
 _WIDTH = lambda x: f"(length(regexp_replace({x}, {_q(f'[{text.ZERO_WIDTH}]')}, '', 'g')) + length(regexp_replace({x}, {_q(f'[^{text.WIDE}]')}, '', 'g')))"
 _rows("display_width", "customer", RESUME, "c_custkey", lambda T: {"width": text.display_width(T)}, f"SELECT c_custkey, {_WIDTH('t')} AS width FROM s")
 _rows("pad_display", "nation", "concat('国', n_name)", "n_nationkey", lambda T: {"padded": text.pad_display(T, 20)}, f"SELECT n_nationkey, concat(t, repeat(' ', greatest(0, 20 - {_WIDTH('t')}))) AS padded FROM s")
-_rows("truncate_display", "nation", "concat(n_name, ' republic')", "n_nationkey", lambda T: {"cut": text.truncate_display(T, 12)}, "SELECT n_nationkey, CASE WHEN length(t) <= 12 THEN t ELSE concat(left(t, 11), '…') END AS cut FROM s")
-_rows("wrap_lines", "nation", "concat(n_name, ' ', n_name, ' abc 张伟，李明。')", "n_nationkey", lambda T: {"n_lines": F.size(wrap.wrap_lines(T, 20)), "joined": F.array_join(wrap.wrap_lines(T, 20), "|")}, None)
+_WIDER = "CASE n_nationkey % 3 WHEN 0 THEN concat(n_name, ' republic') WHEN 1 THEN concat('国', n_name, '中华人民', n_name) ELSE concat(left(n_name, 3), '共和国e\u0301x') END"
+_rows("truncate_display", "nation", _WIDER, "n_nationkey", lambda T: {"cut": text.truncate_display(T, 12)},
+      f"SELECT n_nationkey, CASE WHEN {_WIDTH('t')} <= 12 THEN t ELSE concat(left(t, list_max(list_filter(generate_series(0, length(t)), lambda i: {_WIDTH('left(t, i)')} <= 11))), '…') END AS cut FROM s")
+
+#: Text, columns, and its lines; then the same behind "1. " and three blanks.
+_WRAPPED = [
+    ("0123456789abcdefghij", 10, "0123456789|abcdefghij", "1. 0123456789|   abcdefghij"),
+    ("hello TypeScript world", 12, "hello|TypeScript|world", "1. hello|   TypeScript|   world"),
+    ("一二三四五，六七", 6, "一二三四五，|六七", "1. 一二三四五，|   六七"),
+    ("第一行\n第二行", 20, "第一行|第二行", "1. 第一行|   第二行"),
+    ("a\n\nb", 20, "a||b", "1. a|   |   b"),
+    ("", 20, "", "1. "),
+    ("one two  three four", 13, "one two|three four", "1. one two|   three four"),
+    ("ab 张伟张伟张伟张伟 cd", 13, "ab 张伟张伟张|伟张伟 cd", "1. ab 张伟张|   伟张伟张伟|   cd"),
+    ("see https://example.com/a/long/path, then", 16, "see|https://example.|com/a/long/path,|then", "1. see|   https://examp|   le.com/a/long|   /path, then"),
+    ("e" + chr(769) * 3 + "bcdefghijk", 10, "e" + chr(769) * 3 + "|bcdefghijk", "1. e" + chr(769) * 3 + "|   bcdefghijk"),
+]
+
+
+def _wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.createDataFrame([(k, t, n) for k, (t, n, *_) in enumerate(_WRAPPED)], "id int, t string, n int")
+    plain, indented = (F.coalesce(*(F.when(F.col("n") == n, F.array_join(lines(n), "|")) for n in sorted({r[1] for r in _WRAPPED}))) for lines in (lambda n: wrap.wrap_lines(F.col("t"), n), lambda n: wrap.wrap_with_indent(F.col("t"), "1. ", "   ", n)))
+    return raw.select("id", plain.alias("joined"), indented.alias("indented"))
+
+
+QUERIES["wrap_lines"] = _wrap
+ORACLES["wrap_lines"] = _values([(k, *r[2:]) for k, r in enumerate(_WRAPPED)], ["id", "joined", "indented"])
 _rows("score_bar", "nation", "CAST(n_nationkey * 4.5 AS DOUBLE)", "n_nationkey", lambda T: {"bar": text.score_bar(F.lit("技能"), T), "band": text.score_band(T)},
       "SELECT n_nationkey, concat('  技能', repeat(' ', 8), '  ', repeat('█', CAST(floor(least(t, 100) / 100 * 20 + 0.5) AS INT)), repeat('░', 20 - CAST(floor(least(t, 100) / 100 * 20 + 0.5) AS INT)), '  ', format('{:.1f}', CAST(least(t, 100) AS DOUBLE))) AS bar, CASE WHEN t >= 80 THEN 'green' WHEN t >= 60 THEN 'yellow' ELSE 'red' END AS band FROM s")
 _rows("format_bytes", "orders", "o_orderkey * o_orderkey % 5000000", "o_orderkey", lambda T: {"size": text.format_bytes(T)}, "SELECT o_orderkey, CASE WHEN t < 1024 THEN concat(CAST(t AS VARCHAR), ' B') WHEN t < 1048576 THEN concat(format('{:.1f}', floor(t / 1024.0::DOUBLE * 10 + 0.5) / 10), ' KB') ELSE concat(format('{:.1f}', floor(t / 1048576.0::DOUBLE * 10 + 0.5) / 10), ' MB') END AS size FROM s")
@@ -288,38 +388,53 @@ _JD = f"CASE doc_id % 4 WHEN 0 THEN '   ' WHEN 1 THEN repeat('{chr(0xFFFD)}', 9)
 _rows("jd_validate", "documents", _JD, "doc_id", lambda T: {"error_code": files.jd_error(T, F.octet_length(T))}, "SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN 'JD_EMPTY' WHEN doc_id % 4 = 2 THEN 'JD_FILE_NOT_FOUND' WHEN trim(t) = '' THEN 'JD_EMPTY' END AS error_code FROM s")
 _PDF = "CASE doc_id % 3 WHEN 0 THEN concat('%PDF-1.7', text) WHEN 1 THEN '' ELSE text END"
 _rows("pdf_validate", "documents", _PDF, "doc_id", lambda T: {"error_code": files.pdf_error(F.octet_length(T), T.cast("binary"))}, "SELECT doc_id, CASE WHEN t = '' THEN 'PDF_UNREADABLE' WHEN NOT contains(left(t, 1024), '%PDF-') THEN 'NOT_A_PDF' END AS error_code FROM s")
-_rows("http_retry_class", "events", "CAST(400 + event_id % 110 AS INT)", "event_id", lambda T: {"retryable": files.retryable(T)}, f"SELECT event_id, t IN {files.RETRYABLE} AS retryable FROM s")
+_rows("http_retry_class", "events", "CAST(400 + event_id % 110 AS INT)", "event_id", lambda T: {"retryable": files.retryable(T), "class": files.failure_class(T), "downgrade": files.downgrade(T, F.lit("bad Response_Format"))},
+      f"SELECT event_id, t IN {files.RETRYABLE} AS retryable, CASE WHEN t IN (401, 403) THEN 'auth' WHEN t = 404 THEN 'missing' WHEN t = 429 THEN 'throttled' WHEN t >= 500 THEN 'server' ELSE 'other' END AS class, t = 400 AS downgrade FROM s")
 _rows("log_filter", "events", "CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warn' WHEN 2 THEN 'info' ELSE 'debug' END", "event_id", lambda T: {"shown": files.visible(T, "info")}, "SELECT event_id, t <> 'debug' AS shown FROM s")
 
-CALLS = """SELECT user_id AS call_id, event_id AS seq, CASE WHEN event_id % 41 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'turn.completed' ELSE 'item.completed' END AS type,
-  CASE WHEN event_id % 3 <> 0 THEN props END AS text, event_id % 100 AS input_tokens, event_id % 7 AS output_tokens"""
+#: Lines of a call's output: messages, reasoning, usage or none, errors, broken JSON and blank lines.
+_LINE = """CASE WHEN event_id % 401 = 0 THEN '{"type":"error"}' WHEN event_id % 409 = 0 THEN '{"type":"turn.completed"' WHEN event_id % 11 = 0 THEN '   '
+  WHEN event_id % 7 = 0 AND event_id % 2 = 0 THEN '{"type":"turn.completed"}' WHEN event_id % 7 = 0 THEN concat('{"type":"turn.completed","usage":{"input_tokens":', CAST(event_id % 100 AS STRING), ',"output_tokens":', CAST(event_id % 9 AS STRING), '}}')
+  WHEN event_id % 5 = 0 THEN concat('{"type":"item.completed","item":{"type":"reasoning","text":"r', CAST(event_id AS STRING), '"}}') ELSE concat('{"type":"item.completed","item":{"type":"agent_message","text":"m', CAST(event_id AS STRING), '"}}') END"""
+#: Calls whose output is below and above the cap, and one of a single null line.
+_LARGE = [(-1, 3_900_000), (-2, 4_200_000)]
 
 
 def _fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.fold(_table(spark, sf_dir, "events").selectExpr(*re.split(r",\s+(?=CASE|event_id AS|event_id %)", CALLS.removeprefix("SELECT "))))
+    lines = _table(spark, sf_dir, "events").selectExpr("user_id AS call_id", "event_id AS seq", f"{_LINE} AS line")
+    large = spark.createDataFrame(_LARGE, "call_id long, n int").select("call_id", F.explode(F.array(
+        F.struct(F.lit(1).alias("seq"), F.concat(F.lit('{"type":"item.completed","item":{"type":"agent_message","text":"ok","more":"'), F.repeat(F.lit("x"), F.col("n")), F.lit('"}}')).alias("line")),
+        F.struct(F.lit(2).alias("seq"), F.lit('{"type":"turn.completed"}').alias("line")),
+    )).alias("e")).select("call_id", F.col("e.seq").cast("long").alias("seq"), "e.line")
+    return events.fold(events.parsed(lines.unionByName(large)))
 
 
 QUERIES["event_fold"] = _fold
-ORACLES["event_fold"] = f"""WITH e AS ({CALLS} FROM events),
-g AS (SELECT call_id, arg_max(text, seq) FILTER (type = 'item.completed' AND text IS NOT NULL) AS content, bool_or(type = 'turn.completed') AS done, bool_or(type IN ('turn.failed', 'error')) AS failed, arg_max(input_tokens + output_tokens, seq) FILTER (type = 'turn.completed') AS tokens FROM e GROUP BY call_id)
-SELECT *, done AND NOT failed AND coalesce(content, '') <> '' AS success FROM g"""
+ORACLES["event_fold"] = f"""WITH l AS (SELECT user_id AS call_id, event_id AS seq, {_LINE} AS line FROM events),
+e AS (SELECT *, line = '{{"type":"turn.completed"' AS bad FROM l),
+g AS (SELECT call_id, arg_max(regexp_extract(line, '"text":"([^"]*)"', 1), seq) FILTER (line LIKE '%agent_message%') AS content, bool_or(line LIKE '{{"type":"turn.completed"%' AND NOT bad) AS done,
+  bool_or(bad OR line = '{{"type":"error"}}') AS failed,
+  arg_max(TRY_CAST(regexp_extract(line, 'input_tokens":([0-9]+)', 1) AS BIGINT) + TRY_CAST(regexp_extract(line, 'output_tokens":([0-9]+)', 1) AS BIGINT), seq) FILTER (line LIKE '%input_tokens%') AS tokens FROM e GROUP BY call_id)
+SELECT *, done AND NOT failed AND coalesce(content, '') <> '' AS success FROM g
+UNION ALL SELECT -1, 'ok', true, false, NULL, true UNION ALL SELECT -2, 'ok', true, true, NULL, false"""
 
 
 # --- settings, renderings, commands -------------------------------------------------------
 _rows("snippet", "documents", "text", "doc_id", lambda T: {"cut": text.snippet(T, 200)}, f"SELECT doc_id, regexp_replace(left(t, 200), {_q(text.SPACE + '+')}, ' ', 'g') AS cut FROM s")
-_rows("empty_text", "documents", "CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'abc' ELSE text END", "doc_id", lambda T: {"suspected": files.suspected_scan(T, F.lit(1)), "error_code": files.text_error(T, F.lit(1))}, "SELECT doc_id, length(t) < 30 AS suspected, CASE WHEN t = '' THEN 'PDF_EMPTY_TEXT' END AS error_code FROM s")
+_rows("empty_text", "documents", "CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'abc' ELSE text END", "doc_id", lambda T: {"suspected": files.suspected_scan(T, F.lit(1)), "error_code": files.text_error(T), "hint": files.text_hint(T, (F.col("doc_id") % 2).cast("int"))},
+      "SELECT doc_id, length(t) < 30 AS suspected, CASE WHEN t = '' THEN 'PDF_EMPTY_TEXT' END AS error_code, CASE WHEN t = '' AND doc_id % 2 = 1 THEN 'SUSPECTED_SCAN' WHEN t = '' THEN 'NO_PAGES' END AS hint FROM s")
 _rows("lenient_int", "orders", _INTS, "o_orderkey", lambda T: {"n": settings.lenient_int(T, 7)}, "SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 7 WHEN o_orderkey % 5 = 1 THEN 7 WHEN o_orderkey % 5 = 2 THEN 12 WHEN o_orderkey % 5 = 3 THEN 99999999999999999 ELSE o_orderkey END AS n FROM s")
 _rows("setting_precedence", "nation", "CASE n_nationkey % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'bad' END", "n_nationkey", lambda T: (lambda p: {"provider": p, "error_code": settings.provider_error(p, F.lit(None)), "url": settings.endpoint(F.concat(p, F.lit("//")), "chat/completions")})(settings.first_set(T, F.lit("openai"))),
       "SELECT n_nationkey, coalesce(t, 'openai') AS provider, CASE WHEN coalesce(t, 'openai') <> 'codex' THEN 'CONFIG_MISSING' END AS error_code, concat(coalesce(t, 'openai'), '/chat/completions') AS url FROM s")
 _rows("retry_backoff", "events", "CAST(event_id % 4 AS INT)", "event_id", lambda T: {"least": settings.backoff_ms(T)["least"], "most": settings.backoff_ms(T)["most"]}, "SELECT event_id, CAST(400 * pow(2, t) AS BIGINT) AS least, CAST(400 * pow(2, t) + 199 AS BIGINT) AS most FROM s")
 _rows("indent_hint", "nation", "concat(n_name, chr(10), 'b')", "n_nationkey", lambda T: {"hint": settings.indented(T)}, "SELECT n_nationkey, concat('      ', replace(t, chr(10), concat(chr(10), '      '))) AS hint FROM s")
 _rows("email_plausible", "events", "CASE event_id % 4 WHEN 0 THEN 'a@b.c' WHEN 1 THEN 'bad' WHEN 2 THEN 'a b@c.d' ELSE 'a@b' END", "event_id", lambda T: {"plausible": settings.plausible_email(T)}, "SELECT event_id, event_id % 4 = 0 AS plausible FROM s")
-_rows("prompt_budget", "documents", "text", "doc_id", lambda T: {"n": F.length(settings.prompt("Read:", {"A": text.clamp_input(T, 20000)["text"], "B": F.left(T, F.lit(5))})), "head": F.left(settings.prompt("Read:", {"A": T}), F.lit(20))},
-      f"SELECT doc_id, 27 + length(left(t, 5)) + CASE WHEN length(t) > 20000 THEN 20000 + length(concat(chr(10), chr(10), '[注意：原文共 ', CAST(length(t) AS VARCHAR), ' 字符，因超出单次请求上限，以上仅为前 20000 字符，其余内容已被截断。请只依据已给出的内容作答，不要推测或补全被截断的部分。]')) ELSE length(t) END AS n, left(concat('Read:', chr(10), 'A <<<', chr(10), t, chr(10), '>>>'), 20) AS head FROM s")
+_rows("prompt_budget", "documents", "text", "doc_id", lambda T: {"prompt": settings.prompt("Read:", {"A": text.clamp_input(T, 20000)["text"], "B": text.clamp_input(T, 8000)["text"]})},
+      f"SELECT doc_id, concat('Read:', chr(10), 'A <<<', chr(10), {_CLAMPED(20000)}, chr(10), '>>>', chr(10), 'B <<<', chr(10), {_CLAMPED(8000)}, chr(10), '>>>') AS prompt FROM s")
 _rows("metadata", "nation", """CASE n_nationkey % 3 WHEN 0 THEN concat('{"Title": "', n_name, '", "Author": 3}') WHEN 1 THEN '{"Creator": null, "CreationDate": "D:2020"}' ELSE 'broken' END""", "n_nationkey", lambda T: (lambda m: {"title": m["title"], "author": m["author"], "created": m["creationDate"]})(commands.metadata(T)),
       "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN regexp_extract(t, '\"Title\": \"([^\"]*)\"', 1) END AS title, CAST(NULL AS VARCHAR) AS author, CASE WHEN n_nationkey % 3 = 1 THEN 'D:2020' END AS created FROM s")
-_rows("preview_lines", "documents", "text", "doc_id", lambda T: (lambda p: {"shown": F.array_join(p["lines"], "\n"), "omitted": p["omitted"]})(render.preview(T, 5, 60)),
-      "SELECT doc_id, array_to_string(list_transform(generate_series(1, least(5, len(l))), lambda i: concat('  ', rpad(CAST(i AS VARCHAR), CAST(length(CAST(len(l) AS VARCHAR)) AS INT), ' '), ' │ ', CASE WHEN length(l[i]) <= 60 THEN l[i] ELSE concat(left(l[i], 59), '…') END)), chr(10)) AS shown, CAST(greatest(len(l) - 5, 0) AS INT) AS omitted FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM s)")
+_rows("preview_lines", "documents", "text", "doc_id", lambda T: (lambda p: {"shown": F.array_join(p["lines"], "\n"), "omitted": p["omitted"]})(render.preview(T, PREVIEW, 60)),
+      f"SELECT doc_id, array_to_string(list_transform(generate_series(1, least({PREVIEW}, len(l))), lambda i: concat('  ', rpad(CAST(i AS VARCHAR), CAST(length(CAST(len(l) AS VARCHAR)) AS INT), ' '), ' │ ', CASE WHEN length(l[i]) <= 60 THEN l[i] ELSE concat(left(l[i], 59), '…') END)), chr(10)) AS shown, CAST(greatest(len(l) - {PREVIEW}, 0) AS INT) AS omitted FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM s)")
 
 _SHOWN = [
     ("Java,C++,Python", [("U", None, "本科", "2018.06"), ("", None, None, None)], "  Java  C++|  Python", "  1. U · 本科  2018.06|  2. (信息缺失)", "  大小  3|  b     x"),

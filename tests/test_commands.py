@@ -44,10 +44,31 @@ def test_metadata(spark):
 
 
 def test_files(spark, tmp_path):
-    for name, data in {"a.txt": b"  role  ", "b.txt": b"   ", "c.txt": b""}.items():
+    for name, data in {"a.txt": b"  role  ", "b.txt": b"   ", "c.txt": b"", "d.txt": b"x" * (files.MAX_JD_BYTES + 1), "e.txt": b"ab\xff\xfe"}.items():
         (tmp_path / name).write_bytes(data)
-    got = {r.path[-5:]: (r.text, r.error_code) for r in files.scan_jds(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": ("role", None), "b.txt": ("", "JD_EMPTY")}
+    (tmp_path / "inner").mkdir()
+    want = {"a.txt": ("role", None), "b.txt": ("", "JD_EMPTY"), "c.txt": (None, "JD_EMPTY"), "d.txt": (None, "JD_EMPTY"), "e.txt": ("ab\ufffd\ufffd", "JD_EMPTY")}
+    assert {r.path[-5:]: (r.text, r.error_code) for r in files.scan_jds(spark, str(tmp_path)).collect()} == want
+    # Named one by one: what is missing, and a folder, is a row too.
+    named = [f"{tmp_path}/{n}" for n in ("a.txt", "c.txt", "gone.txt", "inner")]
+    got = {r.path.rpartition("/")[2]: (r.text, r.error_code) for r in files.scan_jds(spark, named).collect()}
+    assert got == {"a.txt": want["a.txt"], "c.txt": want["c.txt"], "gone.txt": (None, "JD_FILE_NOT_FOUND"), "inner": (None, "JD_FILE_NOT_FOUND")}
+    assert [r.error_code for r in files.scan_jds(spark, f"{tmp_path}/none*").collect()] == ["JD_FILE_NOT_FOUND"]
+
+
+def test_pdf_files(spark, tmp_path):
+    for name, data in {"a.pdf": b"x%PDF-1.7", "b.pdf": b"plain", "c.pdf": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rpartition("/")[2]: (r.bytes, r.error_code) for r in files.scan_pdfs(spark, [f"{tmp_path}/{n}.pdf" for n in "abcd"]).collect()}
+    assert got == {"a.pdf": (9, None), "b.pdf": (5, "NOT_A_PDF"), "c.pdf": (0, "PDF_UNREADABLE"), "d.pdf": (None, "FILE_NOT_FOUND")}
+
+
+def test_outputs(spark, tmp_path):
     files.write_json(spark.createDataFrame([(1, None)], "a int, b string"), f"{tmp_path}/out")
     rows = [json.loads(x) for f in (tmp_path / "out").glob("part-*.json") for x in f.read_text().splitlines()]
     assert rows == [{"a": 1, "b": None}]
+    (tmp_path / "file").write_text("x")
+    made = spark.createDataFrame([("deep/a.json", '{"é":[1,{}],"b":[]}'), ("file/b.json", "{}"), ("c.json", "{"), ("d.json", None)], "name string, json string")
+    got = {r.path.rpartition("/")[2]: r.error_code for r in files.write_documents(made, f"{tmp_path}").collect()}
+    assert got == {"a.json": None, "b.json": "OUTPUT_WRITE_FAILED", "c.json": "OUTPUT_WRITE_FAILED", "d.json": "OUTPUT_WRITE_FAILED"}
+    assert (tmp_path / "deep" / "a.json").read_text() == '{\n  "é": [\n    1,\n    {}\n  ],\n  "b": []\n}\n'
