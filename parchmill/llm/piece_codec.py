@@ -107,13 +107,15 @@ class PieceModel:
         #: No piece goes on with a space after another character, so texts can be cut there.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.index)
         self.worst = min((self.scores[i] for i in self.index.values()), default=0.0) - UNKNOWN_PENALTY
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: By piece: whether it may follow another one, as far as asked.
+        self.after: list[dict[int, bool]] = [{} for _ in self.pieces]
+        self.asked = 0
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         for p, i in self.index.items():
             if self.type == UNIGRAM or len(p) == 1 or self._merge(p) == [i]:
-                self.automaton.add_word(p, (i, len(p)))
+                self.automaton.add_word(p, (i, len(p), self.after[i]))
         self.automaton.make_automaton()
 
     def _merge(self, text: str) -> list[int]:
@@ -146,12 +148,12 @@ class PieceModel:
         return [self.index.get(p, self.unknown) for p in parts if p is not None]
 
     def _together(self, a: int, b: int) -> bool:
-        key = a, b
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > 300_000:
-                self.pairs.clear()
-            found = self.pairs[key] = self._merge(self.pieces[a] + self.pieces[b]) == [a, b]
+        if self.asked > 300_000:
+            for known in self.after:
+                known.clear()
+            self.asked = 0
+        self.asked += 1
+        found = self.after[b][a] = self._merge(self.pieces[a] + self.pieces[b]) == [a, b]
         return found
 
     def _bytes_of(self, char: str) -> list[int]:
@@ -165,12 +167,12 @@ class PieceModel:
     def _by_scores(self, text: str) -> list[int]:
         n, low = len(text), float("-inf")
         best, back = [0.0] + [low] * n, [None] * (n + 1)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        ends: list[list[tuple[int, int, dict]]] = [[] for _ in range(n)]
         for end, out in self.automaton.iter(text):
             ends[end].append(out)
         for at in range(1, n + 1):
             single = False
-            for i, size in ends[at - 1]:
+            for i, size, _ in ends[at - 1]:
                 single |= size == 1
                 score = best[at - size] + self.scores[i]
                 if score > best[at]:
@@ -189,33 +191,35 @@ class PieceModel:
         n = len(text)
         last: list[int] = [-2] + [-1] * n  # the piece that ends here; -2: a break, -1: none
         size_of = [0] * (n + 1)
-        for k, c in enumerate(text):
-            if c not in self.characters:
-                last[k + 1], size_of[k + 1] = -2, 1
-        pairs, together = self.pairs, self._together
-        for end, (i, size) in self.automaton.iter(text):
-            if last[end + 1] != -1:
-                continue
-            before = last[end + 1 - size]
-            if before == -2:
-                ok = True
-            elif before == -1:
-                ok = False
-            else:
-                ok = pairs.get((before, i))
-                if ok is None:
-                    ok = together(before, i)
-            if ok:
-                last[end + 1], size_of[end + 1] = i, size
-        out: list[list[int]] = []
+        if not self.characters.issuperset(text):
+            for k, c in enumerate(text):
+                if c not in self.characters:
+                    last[k + 1], size_of[k + 1] = -2, 1
+        for end, (i, size, after) in self.automaton.iter(text):
+            end += 1
+            if last[end] == -1:
+                before = last[end - size]
+                if before >= 0:
+                    ok = after.get(before)
+                    if ok is None:
+                        ok = self._together(before, i)
+                else:
+                    ok = before == -2
+                if ok:
+                    last[end], size_of[end] = i, size
+        out: list[int] = []
         at = n
         while at:
             i = last[at]
-            if i == -1:
+            if i >= 0:
+                out.append(i)
+            elif i == -1:
                 return self._merge(text)  # a piece that merging can't reach; not seen in trained models
-            out.append([i] if i >= 0 else self._bytes_of(text[at - 1]))
+            else:
+                out += reversed(self._bytes_of(text[at - 1]))
             at -= size_of[at]
-        return [i for ids in reversed(out) for i in ids]
+        out.reverse()
+        return out
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
