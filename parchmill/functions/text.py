@@ -52,15 +52,16 @@ def number_text(c: Column) -> Column:
 
 
 def repair_artifacts(c: Column) -> Column:
-    c = F.regexp_replace(F.regexp_replace(c, f"[{INVISIBLE}]", ""), f"[{NARROW}]", " ")
+    """Invisible signs gone, odd blanks plain, ligatures as letters; texts without any pass one test."""
+    out = F.regexp_replace(F.regexp_replace(c, f"[{INVISIBLE}]", ""), f"[{NARROW}]", " ")
     for sign, letters in LIGATURES.items():
-        c = F.replace(c, F.lit(sign), F.lit(letters))
-    return c
+        out = F.replace(out, F.lit(sign), F.lit(letters))
+    return F.when(c.rlike(f"[{INVISIBLE}{NARROW}{''.join(LIGATURES)}]"), out).otherwise(c)
 
 
 def fold_compat(c: Column) -> Column:
     """Radicals, compatibility ideographs, full-width ASCII and half-width kana folded."""
-    return F.translate(c, COMPAT_FROM, COMPAT_TO)
+    return F.when(needs_folding(c), F.translate(c, COMPAT_FROM, COMPAT_TO)).otherwise(c)
 
 
 def needs_folding(c: Column) -> Column:
