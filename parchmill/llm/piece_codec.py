@@ -12,18 +12,21 @@ end there (its output links); one pass relaxes the best path to each position.
 
 Texts are cut where no piece can cross (before a space that follows another character, and
 around characters that no piece holds), and each distinct part is encoded once a worker.
+A model's character map is applied first, longest match first; user-defined pieces stand for
+themselves wherever they occur, and models that have some are encoded text by text.
 
 Defined results: a null text has no pieces and decodes to the empty text.  Unknown characters
 become byte pieces, or the unknown id where the model has none (then the text doesn't come back).
 Bytes that are no UTF-8 decode to U+FFFD.  Repeated rows are each encoded.  An empty table gives
-no row.  Other columns, whatever their names, are ignored.  Models with a character map or
-user-defined pieces are refused with an error.
+no row.  Other columns, whatever their names, are ignored.  Models of words or characters, and
+such that mark spaces after words, are refused with an error.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -71,6 +74,43 @@ def _message(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+class CharMap:
+    """A normaliser's table: a double-array trie of UTF-8 keys, and their replacements."""
+
+    def __init__(self, raw: bytes):
+        (size,) = struct.unpack_from("<I", raw)
+        units, blob = np.frombuffer(raw, "<u4", size // 4, 4), raw[4 + size :]
+        self.table: dict[str, str] = {}
+        bytes_, offset = np.arange(1, 256, dtype=np.uint32), lambda u: int((u >> np.uint32(10)) << ((u & np.uint32(512)) >> np.uint32(6)))
+        left = [(offset(units[0]), b"")]
+        while left:
+            node, key = left.pop()
+            # A child's unit is where its byte leads from the node, and is labelled with that byte.
+            at = bytes_ ^ np.uint32(node)
+            at = at[at < len(units)]
+            for place in at[(units[at] & np.uint32(0x800000FF)) == (at ^ np.uint32(node))].tolist():
+                below, longer = place ^ offset(units[place]), key + bytes([place ^ node])
+                if units[place] >> np.uint32(8) & np.uint32(1):
+                    begin = int(units[below]) & 0x7FFFFFFF
+                    self.table[longer.decode()] = blob[begin : blob.index(b"\0", begin)].decode()
+                left.append((below, longer))
+        self.sizes: dict[str, list[int]] = {}
+        for key in self.table:
+            self.sizes.setdefault(key[0], []).append(len(key))
+        for sizes in self.sizes.values():
+            sizes.sort(reverse=True)
+
+    def __call__(self, text: str) -> str:
+        if self.sizes.keys().isdisjoint(text):
+            return text
+        out, at = [], 0
+        while at < len(text):
+            size = next((k for k in self.sizes.get(text[at], ()) if text[at : at + k] in self.table), 0)
+            out.append(self.table[text[at : at + size]] if size else text[at])
+            at += size or 1
+        return "".join(out)
+
+
 class PieceModel:
     """The pieces of a model file and the automaton over them."""
 
@@ -78,7 +118,7 @@ class PieceModel:
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.type, self.charsmap = UNIGRAM, b""
+        self.type, chars, suffix = UNIGRAM, b"", 0
         self.dummy_prefix = self.squeeze = True
         for field, value in _message(raw):
             if field == 1:
@@ -87,16 +127,19 @@ class PieceModel:
                 self.scores.append(struct.unpack("<f", entry[2])[0] if 2 in entry else 0.0)
                 self.kinds.append(entry.get(3, NORMAL))
             elif field == 2:
-                self.type = dict(_message(value)).get(3, UNIGRAM)
+                spec = dict(_message(value))
+                self.type, suffix = spec.get(3, UNIGRAM), spec.get(24, 0)
             elif field == 3:
                 spec = dict(_message(value))
-                self.charsmap = spec.get(2, b"")
+                chars = spec.get(2, b"")
                 self.dummy_prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
         self.type = model_type or self.type
-        if self.charsmap:
-            raise ValueError("models with a character map are not supported")
-        if USER_DEFINED in self.kinds or self.type not in (UNIGRAM, BPE):
-            raise ValueError("only unigram and BPE models without user-defined pieces are supported")
+        if self.type not in (UNIGRAM, BPE) or suffix:
+            raise ValueError("only unigram and BPE models that mark spaces before words are supported")
+        self.mapped = CharMap(chars) if chars else None
+        self.own = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == USER_DEFINED}
+        longest = sorted(self.own, key=len, reverse=True)
+        self.own_pattern = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.index = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
         self.byte_ids = [None] * 256
         for i, k in enumerate(self.kinds):
@@ -106,6 +149,9 @@ class PieceModel:
         self.characters = {c for p in self.index for c in p}
         #: No piece goes on with a space after another character, so texts can be cut there.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.index)
+        top = max((self.scores[i] for i in self.index.values()), default=0.0)
+        for p, i in self.own.items():  # above any other way through the same bytes
+            self.scores[i] = len(p.encode()) * top - 0.1
         self.worst = min((self.scores[i] for i in self.index.values()), default=0.0) - UNKNOWN_PENALTY
         #: By piece: whether it may follow another one, as far as asked.
         self.after: list[dict[int, bool]] = [{} for _ in self.pieces]
@@ -116,6 +162,9 @@ class PieceModel:
         for p, i in self.index.items():
             if self.type == UNIGRAM or len(p) == 1 or self._merge(p) == [i]:
                 self.automaton.add_word(p, (i, len(p), self.after[i]))
+        if self.type == UNIGRAM:
+            for p, i in self.own.items():
+                self.automaton.add_word(p, (i, len(p), self.after[i]))
         self.automaton.make_automaton()
 
     def _merge(self, text: str) -> list[int]:
@@ -221,13 +270,26 @@ class PieceModel:
         out.reverse()
         return out
 
+    def plain(self, text: str) -> str:
+        """``text`` after the character map, which leaves user-defined pieces as they are."""
+        if self.mapped is None:
+            return text
+        if self.own_pattern is None:
+            return self.mapped(text)
+        return "".join(x if x in self.own else self.mapped(x) for x in self.own_pattern.split(text))
+
     def normalise(self, text: str) -> str:
+        text = self.plain(text)
         if self.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
-        return ((SPACE if self.dummy_prefix and text else "") + text).replace(" ", SPACE)
+        text = ((SPACE if self.dummy_prefix and text else "") + text).replace(" ", SPACE)
+        return text.rstrip(SPACE) if self.squeeze else text
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_part(self.normalise(text))
+        text = self.normalise(text)
+        if self.own_pattern is None or self.type == UNIGRAM:
+            return self.encode_part(text)
+        return [i for part in self.own_pattern.split(text) if part for i in ([self.own[part]] if part in self.own else self.encode_part(part))]
 
     def table(self) -> list[bytes]:
         """The bytes that each id decodes to."""
@@ -261,14 +323,30 @@ def _parts(path: str) -> WordCodec:
     return WordCodec(encode)
 
 
+def _text_by_text(column, model: PieceModel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for lo, hi in slices(column_bytes(column)[1]):
+        found = [model.encode(t) for t in column.slice(lo, hi - lo).to_pylist()]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        yield lo, hi, np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
+
+
 def encode_column(column, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, ids of each row) of each slice of a column of texts."""
     model, codec = load(path), _parts(path)
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.replace_substring(pc.fill_null(column, ""), SPACE, " ")
+    column = pc.fill_null(column, "")
+    if model.own_pattern is not None:
+        yield from _text_by_text(column, model)
+        return
+    if model.mapped is not None:
+        column = pa.array(map(model.plain, column.to_pylist()), column.type)
+    # Marks that a text holds itself are not squeezed, but go at its end.
+    if model.squeeze:
+        column = pc.utf8_ltrim(pc.replace_substring_regex(column, " +", " "), " ")
+    column = pc.replace_substring(column, SPACE, " ")
     if model.squeeze:
-        column = pc.utf8_trim(pc.replace_substring_regex(column, " +", " "), " ")
+        column = pc.utf8_rtrim(column, " ")
     if model.dummy_prefix:
         column = pc.if_else(pc.equal(pc.binary_length(column), 0), column, pc.binary_join_element_wise("", column, " "))
     whole, offsets = column_bytes(column)

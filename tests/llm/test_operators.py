@@ -185,6 +185,43 @@ def test_pieces(docs, empty):
     assert piece_codec.encode(empty, path).count() == 0
 
 
+def field(number, value):
+    """One field of a protocol buffer message."""
+    number_ = lambda x: bytes([x]) if x < 128 else bytes([x & 127 | 128]) + number_(x >> 7)
+    return number_(number << 3) + number_(value) if isinstance(value, int) else number_(number << 3 | 2) + number_(len(value)) + value
+
+
+def model_file(path, kind=None, chars=b"", own=(), squeeze=True):
+    """The public model with another kind, character map or user-defined pieces."""
+    raw, out, own = open(vocabularies.public("piece_bpe_32k.model"), "rb").read(), b"", list(own)
+    for n, value in piece_codec._message(raw):
+        if n == 1 and (piece := dict(piece_codec._message(value))[1].decode()) in own:
+            own.remove(piece)
+            value = field(1, piece.encode()) + field(3, piece_codec.USER_DEFINED)
+        if n == 2 and kind:
+            value = b"".join(field(k, v) if k != 3 else b"" for k, v in piece_codec._message(value) if isinstance(v, int) or k in (1, 2, 7, 44, 45, 46, 47)) + field(3, kind)
+        if n == 3:
+            value = field(1, b"made") + (field(2, chars) if chars else b"") + field(3, 1) + field(4, int(squeeze)) + field(5, 1)
+        out += field(n, value)
+    out += b"".join(field(1, field(1, p.encode()) + field(3, piece_codec.USER_DEFINED)) for p in own)
+    path.write_bytes(out)
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", [piece_codec.BPE, piece_codec.UNIGRAM])
+@pytest.mark.parametrize("mapped,own,squeeze", [(True, (), True), (False, ("<tag>", "zq!", "日語"), True), (True, ("ﬁ", "<tag>"), True), (False, ("▁▁", "▁▁▁"), False), (False, (), True)])
+def test_model_files(spark, tmp_path, kind, mapped, own, squeeze):
+    import sentencepiece
+
+    chars = dict(piece_codec._message(dict(piece_codec._message(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]))[2] if mapped else b""
+    path = model_file(tmp_path / "m.model", kind, chars, own, squeeze)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [*TEXTS[1:], "Ｋａｄｏ　①㌔ ﬁne\tx\ny  <tag>ab <tag> czq!b日語本 zq!zq!", "e\u0301 \u1e9b\u0323 가 \x00\x01\x7f\u200b\ufeff", "a   b    c", "<tag>", "ab", "half ｶﾞ ½ ﷺ", "\U0001f600 ok", "a ▁ b ▁▁c▁", "▁", "  ▁x"]
+    got = {r.doc_id: r.ids for r in piece_codec.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == library.encode(t), t
+
+
 def test_unigram_viterbi():
     model = piece_codec.PieceModel(open(vocabularies.public("piece_bpe_32k.model"), "rb").read(), piece_codec.UNIGRAM)
     for text in ("▁the", "▁word", "abcab", "▁\U0010fffea"):
