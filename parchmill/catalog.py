@@ -199,7 +199,7 @@ _pairs_query("match_report", lambda: [F.col("overall_score"), F.col("skill_score
 
 
 def _ranked(top: int | None) -> Query:
-    return lambda spark, sf_dir: score.rank(_scored(spark, sf_dir), "n_nationkey", "c_custkey", top).select("n_nationkey", "rank", "c_custkey", "overall_score")
+    return lambda spark, sf_dir: score.rank(_scored(spark, sf_dir), "n_nationkey", "c_custkey", top, ids=_table(spark, sf_dir, "customer")).select("n_nationkey", "rank", "c_custkey", "overall_score")
 
 
 _RANKED = f"{_MATCH} SELECT n_nationkey, CAST(rank AS INT) AS rank, c_custkey, overall_score FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY overall_score DESC, c_custkey) AS rank FROM r)"
@@ -433,8 +433,8 @@ _rows("prompt_budget", "documents", "text", "doc_id", lambda T: {"prompt": setti
       f"SELECT doc_id, concat('Read:', chr(10), 'A <<<', chr(10), {_CLAMPED(20000)}, chr(10), '>>>', chr(10), 'B <<<', chr(10), {_CLAMPED(8000)}, chr(10), '>>>') AS prompt FROM s")
 _rows("metadata", "nation", """CASE n_nationkey % 3 WHEN 0 THEN concat('{"Title": "', n_name, '", "Author": 3}') WHEN 1 THEN '{"Creator": null, "CreationDate": "D:2020"}' ELSE 'broken' END""", "n_nationkey", lambda T: (lambda m: {"title": m["title"], "author": m["author"], "created": m["creationDate"]})(commands.metadata(T)),
       "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN regexp_extract(t, '\"Title\": \"([^\"]*)\"', 1) END AS title, CAST(NULL AS VARCHAR) AS author, CASE WHEN n_nationkey % 3 = 1 THEN 'D:2020' END AS created FROM s")
-_rows("preview_lines", "documents", "text", "doc_id", lambda T: (lambda p: {"shown": F.array_join(p["lines"], "\n"), "omitted": p["omitted"]})(render.preview(T, PREVIEW, 60)),
-      f"SELECT doc_id, array_to_string(list_transform(generate_series(1, least({PREVIEW}, len(l))), lambda i: concat('  ', rpad(CAST(i AS VARCHAR), CAST(length(CAST(len(l) AS VARCHAR)) AS INT), ' '), ' │ ', CASE WHEN length(l[i]) <= 60 THEN l[i] ELSE concat(left(l[i], 59), '…') END)), chr(10)) AS shown, CAST(greatest(len(l) - {PREVIEW}, 0) AS INT) AS omitted FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM s)")
+_rows("preview_lines", "documents", "text", "doc_id", lambda T: (lambda p: {"shown": F.array_join(p["lines"], "\n"), "omitted": p["omitted"], "note": p["note"]})(render.preview(T, PREVIEW, 60)),
+      f"SELECT doc_id, array_to_string(list_transform(generate_series(1, least({PREVIEW}, len(l))), lambda i: concat('  ', rpad(CAST(i AS VARCHAR), CAST(length(CAST(len(l) AS VARCHAR)) AS INT), ' '), ' │ ', CASE WHEN length(l[i]) <= 60 THEN l[i] ELSE concat(left(l[i], 59), '…') END)), chr(10)) AS shown, CAST(greatest(len(l) - {PREVIEW}, 0) AS INT) AS omitted, CASE WHEN len(l) > {PREVIEW} THEN concat({_LIT(render.OMITTED[0])}, CAST(len(l) - {PREVIEW} AS VARCHAR), {_LIT(render.OMITTED[1])}) END AS note FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM s)")
 
 _SHOWN = [
     ("Java,C++,Python", [("U", None, "本科", "2018.06"), ("", None, None, None)], "  Java  C++|  Python", "  1. U · 本科  2018.06|  2. (信息缺失)", "  大小  3|  b     x"),
@@ -452,6 +452,12 @@ QUERIES["render_profile"] = _render
 ORACLES["render_profile"] = _values([(k, *r[2:]) for k, r in enumerate(_SHOWN)], ["id", "skills", "schools", "facts"])
 
 
+_rows("render_marks", "nation", "CASE n_nationkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'warn' ELSE 'info' END", "n_nationkey",
+      lambda T: {"status": render.status_line(T, F.lit("m")), "head": F.array_join(render.result_header(T, F.when(T == "ok", "s").when(T == "warn", "")), "|"), "title": render.section_title(T), "line": render.divider(F.when(T != "info", F.col("n_nationkey") * 10)), "red": render.painted(T, "red")},
+      """SELECT n_nationkey, concat(CASE t WHEN 'ok' THEN '✔' WHEN 'warn' THEN '▲' ELSE '·' END, ' m') AS status, concat('|◆ ', t, CASE WHEN t = 'ok' THEN '|  s' ELSE '' END) AS head, concat('▌ ', t) AS title,
+      repeat('─', CAST(CASE WHEN t = 'info' THEN 80 ELSE least(100, greatest(40, n_nationkey * 10)) END AS BIGINT)) AS line, concat(chr(27), '[31m', t, chr(27), '[0m') AS red FROM s""")
+
+
 def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.createDataFrame([(f"p{k}", 100 + k, [p, p], '{"Title": "T"}') for k, (p, _) in enumerate(_PAGES)] + [("none", 5, [], None)], f"path string, bytes long, pages array<array<struct<{_RUN}>>>, info string")
     return commands.parse(docs).select("path", "bytes", "pages", "chars", F.col("metadata.title").alias("title"), F.col("suspectedScanned").alias("suspected"), "text", "error_code")

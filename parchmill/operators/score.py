@@ -100,19 +100,20 @@ def questions() -> Column:
 RANGES = 64
 
 
-def rank(scored: DataFrame, job: str, person: str, top: int | None = None, ranges: int = RANGES) -> DataFrame:
+def rank(scored: DataFrame, job: str, person: str, top: int | None = None, ranges: int = RANGES, ids: DataFrame | None = None) -> DataFrame:
     """Candidates of each job by overall score, ties by id, all of them or the ``top`` first.
 
     With ``top`` Spark limits each group before the shuffle.  Without it no task holds all
     candidates of a job: they are counted by job, score (a thousand values) and range of ids,
     the counts are summed up in order of rank, and only rows of equal job, score and range
-    are numbered together."""
+    are numbered together.  ``ids``: a table of the candidates, if there is one that is cheaper to
+    sample the ranges from than the pairs."""
     order = [F.desc("overall_score"), F.asc(person)]
     if top is not None:
         numbered = scored.withColumn("rank", F.row_number().over(Window.partitionBy(job).orderBy(*order)))
         return numbered.where(F.col("rank") <= top)
     # Ranges by a sample of ids that is the same on every run.
-    sample = sorted(r[0] for r in scored.select(person).distinct().orderBy(F.xxhash64(person), person).limit(ranges * 32).collect() if r[0] is not None)
+    sample = sorted(r[0] for r in (scored if ids is None else ids).select(person).distinct().orderBy(F.xxhash64(person), person).limit(ranges * 32).collect() if r[0] is not None)
     cuts = sorted(set(sample[len(sample) // ranges :: max(1, len(sample) // ranges)]))
     part, before, at = (_free(x, scored) for x in ("id_range", "before", "score_key"))
     kind = scored.schema[person].dataType

@@ -5,6 +5,9 @@ input table; without it (or for ids it lacks, if ``rules``) the rule engine answ
 
 from __future__ import annotations
 
+import json
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +82,19 @@ def score(pairs: DataFrame, responses: DataFrame | None = None, rules: bool = Tr
         responses = pairs.select(*keys, F.lit(None).cast("string").alias("content")).limit(0)
     joined = _answers(pairs, responses, list(keys), jsonfix.coerced_report, [*jsonfix.SCORES, "comment", "interview_questions"], shape)
     return _settled(joined, list(keys), report if rules else None)
+
+
+def emit(result: DataFrame, rendered: str | None = None, out: str | None = None, stream=None) -> str | None:
+    """Print a result row by row: as indented JSON with its nulls, or the text of the column ``rendered``.
+    With ``out`` the rows (without that column) are first written there as JSON lines; if that
+    fails nothing is printed and the error code is returned.  Rows reach the driver a partition at a time."""
+    rows = result.drop(rendered) if rendered else result
+    if out is not None:
+        try:
+            files.write_json(rows, out)
+        except Exception:  # whatever the file system says
+            return "OUTPUT_WRITE_FAILED"
+    stream = stream or sys.stdout
+    for row in (result.select(rendered) if rendered else rows).toLocalIterator():
+        stream.write((row[0] or "") + "\n" if rendered else json.dumps(row.asDict(True), indent=2, ensure_ascii=False, default=str) + "\n")
+    return None

@@ -1,5 +1,6 @@
 """Commands, settings and renderings on small literal cases."""
 
+import io
 import json
 
 from pyspark.sql import functions as F
@@ -72,3 +73,17 @@ def test_outputs(spark, tmp_path):
     got = {r.path.rpartition("/")[2]: r.error_code for r in files.write_documents(made, f"{tmp_path}").collect()}
     assert got == {"a.json": None, "b.json": "OUTPUT_WRITE_FAILED", "c.json": "OUTPUT_WRITE_FAILED", "d.json": "OUTPUT_WRITE_FAILED"}
     assert (tmp_path / "deep" / "a.json").read_text() == '{\n  "é": [\n    1,\n    {}\n  ],\n  "b": []\n}\n'
+
+
+def test_emit(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, "line a\nline b")], "a int, b string, shown string")
+    stream = io.StringIO()
+    assert commands.emit(rows, "shown", f"{tmp_path}/out", stream) is None and stream.getvalue() == "line a\nline b\n"
+    assert [json.loads(x) for f in (tmp_path / "out").glob("part-*.json") for x in f.read_text().splitlines()] == [{"a": 1, "b": None}]
+    stream = io.StringIO()
+    assert commands.emit(rows.drop("shown"), stream=stream) is None and stream.getvalue() == '{\n  "a": 1,\n  "b": null\n}\n'
+    assert commands.emit(rows, None, f"{tmp_path}/out", stream) == "OUTPUT_WRITE_FAILED" and stream.getvalue().count("{") == 1
+
+
+def test_facts_without_any(spark):
+    assert spark.range(1).select(render.facts({"a": F.lit(None).cast("string"), "b": F.lit("")}).alias("x")).first().x == ["  (无)"]
