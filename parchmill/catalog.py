@@ -6,6 +6,7 @@ expressions that both engines read the same."""
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -248,6 +249,12 @@ _CASES = [
     ('{"a":1,"b":[1,2', '{"a":1,"b":[1]}', "truncated"),
     ('{"a":"b","c":"cut', '{"a":"b"}', "truncated"),
     ("```json\n{'a':1,}\n```", '{"a":1}', "fence,quotes,commas"),
+    ("Here you are:\n{'name': '张伟', // who\n 'said': “if (a) { b }”, 'skills': ['React', 'Go',],}\nBye", '{"name":"张伟","said":"if (a) { b }","skills":["React","Go"]}', "fullwidth,fragment,comments,quotes,commas"),
+    ("```json\n{\n  'name': '张伟',   // who\n  'city': “杭州”,\n}\n```", '{"name":"张伟","city":"杭州"}', "fence,fullwidth,comments,quotes,commas"),
+    ('{"said":"他说：' + chr(92) + '"方案（A）；' + chr(92) + '""}', '{"said":"他说：' + chr(92) + '"方案（A）；' + chr(92) + '""}', ""),
+    ('{"education":[{"school":"浙江大学","major":"软件工程"},{"school":"某', '{"education":[{"school":"浙江大学","major":"软件工程"}]}', "truncated"),
+    ('{"score": 82, "comment": "好", "questions": ["问题一", "问题二', '{"score":82,"comment":"好","questions":["问题一"]}', "truncated"),
+    ("抱歉，我无法完成。", None, "fullwidth"),
     ("nothing at all", None, ""),
     ("", None, ""),
     (None, None, ""),
@@ -262,23 +269,36 @@ def _json_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["json_repair_cases"] = _json_cases
 
+_NO_NAME, _NO_SCHOOL, _NO_SKILL = "未能从简历中提取到姓名", "未提取到任何教育经历", "未提取到任何技能"
+_MANY = lambda n: [f"s{k}" for k in range(n)]
+#: Text of a profile, and what of it isn't empty: fields, schools, skills, and the note (warnings or the error code).
 _PROFILES = [
-    ('{"name": " A ", "email": "bad", "education": {"university": "U", "subject": 3}, "skills": "x, y；z"}', ("A", "bad", 1, "x,y,z", "education 不是数组，已包装为单元素数组;skills 是字符串，已按分隔符拆成 3 项;邮箱格式可能不合法：bad")),
-    ('{"name": null, "education": null, "skills": [1, " ", "q"]}', (None, None, 0, "q", "education 为 null，已置为空数组;skills 中有 2 项不是有效文本，已忽略;未能从简历中提取到姓名;未提取到任何教育经历")),
-    ('{"name": 7, "email": "a@b.c", "education": [5, {"school": ""}], "skills": {"a": 1}}', ("7", "a@b.c", 1, "", "education[0] 不是对象（收到 number），已跳过;skills 的类型不是数组（收到 object），已置为空列表;未提取到任何技能")),
-    ('{"name": 0.00001, "email": 1152921504606846976, "education": "", "skills": "a"}', ("0.00001", "1152921504606847000", 0, "a", "邮箱格式可能不合法：1152921504606847000;未提取到任何教育经历")),
-    ('{"name": true, "email": ["x"], "education": "本科", "skills": ""}', ("true", None, 0, "", "education 的类型是 string，不是数组或对象，已忽略该字段;未提取到任何教育经历;未提取到任何技能")),
-    ('{"name": "B", "education": 3, "skills": 7}', ("B", None, 0, "", "education 的类型是 number，不是数组或对象，已忽略该字段;skills 的类型不是数组（收到 number），已置为空列表;未提取到任何教育经历;未提取到任何技能")),
-    ('{"name": "C", "education": {}, "skills": [' + ", ".join(f'"s{k}"' for k in range(21)) + "]}", ("C", None, 1, ",".join(f"s{k}" for k in range(21)), "education 不是数组，已包装为单元素数组;skills 有 21 项，超过约定的 20 项上限（未裁剪，如需收敛请在调用侧处理）")),
-    ('{"name": "' + chr(92) + 'udfff", "education": [{}], "skills": ["' + chr(92) + 'ud800"]}', (chr(0xFFFD), None, 1, chr(0xFFFD), "")),
-    ("[1]", (None, None, None, None, "AI_INVALID_SHAPE")),
-    ('{"name":', (None, None, None, None, "AI_INVALID_JSON")),
+    ('{"name":"张伟","phone":"138","email":"a@b.c","city":"杭州","education":[{"school":"浙江大学","major":"软件工程","degree":"本科","graduation_time":"2018.06"}],"skills":["Go","React"]}',
+     {"name": "张伟", "phone": "138", "email": "a@b.c", "city": "杭州", "education": "浙江大学|软件工程|本科|2018.06", "skills": "Go,React"}),
+    ('{"name":"A","phone":"","email":null}', {"name": "A", "note": f"{_NO_SCHOOL};{_NO_SKILL}"}),
+    ('{"name": " A ", "email": "bad", "education": {"university": "U", "subject": 3}, "skills": "x, y；z"}', {"name": "A", "email": "bad", "education": "U|3||", "skills": "x,y,z", "note": "education 不是数组，已包装为单元素数组;skills 是字符串，已按分隔符拆成 3 项;邮箱格式可能不合法：bad"}),
+    ('{"name":"B","education":[{"schoolName":"清华大学","degree":"硕士","graduationDate":"2020-06"},{"school":"S","graduationTime":"1"},{"education":"大专","graduation_date":"2"}],"skills":"a、b|c\\nd"}', {"name": "B", "education": "清华大学||硕士|2020-06;S|||1;||大专|2", "skills": "a,b,c,d", "note": "skills 是字符串，已按分隔符拆成 4 项"}),
+    ('{"name": null, "education": null, "skills": [1, " ", "q"]}', {"skills": "q", "note": f"education 为 null，已置为空数组;skills 中有 2 项不是有效文本，已忽略;{_NO_NAME};{_NO_SCHOOL}"}),
+    ('{"name":"C","education":[{"school":"S"},"junk",null,42],"skills":[1,2,3]}', {"name": "C", "education": "S|||", "note": f"education[1] 不是对象（收到 string），已跳过;education[2] 不是对象（收到 null），已跳过;education[3] 不是对象（收到 number），已跳过;skills 中有 3 项不是有效文本，已忽略;{_NO_SKILL}"}),
+    ('{"name": 7, "email": "a@b.c", "education": [5, {"school": ""}], "skills": {"a": 1}}', {"name": "7", "email": "a@b.c", "education": "|||", "note": f"education[0] 不是对象（收到 number），已跳过;skills 的类型不是数组（收到 object），已置为空列表;{_NO_SKILL}"}),
+    ('{"name": 0.00001, "email": 1152921504606846976, "education": "", "skills": "a"}', {"name": "0.00001", "email": "1152921504606847000", "skills": "a", "note": f"邮箱格式可能不合法：1152921504606847000;{_NO_SCHOOL}"}),
+    ('{"name": true, "email": ["x"], "education": "本科", "skills": ""}', {"name": "true", "note": f"education 的类型是 string，不是数组或对象，已忽略该字段;{_NO_SCHOOL};{_NO_SKILL}"}),
+    ('{"name": "B", "education": 3, "skills": 7}', {"name": "B", "note": f"education 的类型是 number，不是数组或对象，已忽略该字段;skills 的类型不是数组（收到 number），已置为空列表;{_NO_SCHOOL};{_NO_SKILL}"}),
+    (f'{{"name":"D","education":{{}},"skills":{json.dumps(_MANY(21))}}}', {"name": "D", "education": "|||", "skills": ",".join(_MANY(21)), "note": "education 不是数组，已包装为单元素数组;skills 有 21 项，超过约定的 20 项上限（未裁剪，如需收敛请在调用侧处理）"}),
+    (f'{{"name":"D","education":[{{}}],"skills":{json.dumps(_MANY(20))}}}', {"name": "D", "education": "|||", "skills": ",".join(_MANY(20))}),
+    ('{"name": "' + chr(92) + 'udfff", "education": [{}], "skills": ["' + chr(92) + 'ud800"]}', {"name": chr(0xFFFD), "education": "|||", "skills": chr(0xFFFD)}),
+    ("[1,2,3]", "AI_INVALID_SHAPE"), ('"text"', "AI_INVALID_SHAPE"), ("null", "AI_INVALID_SHAPE"), ('{"name":', "AI_INVALID_JSON"),
 ]
+_MISSING = "{0} 缺失，已置为 0;{0} 不是有效数字，已置为 0"
+_NO_COMMENT = '缺少评分理由（comment），建议在提示词中强调"必须给出理由"'
+#: Text of a report, and its four scores, comment, questions and note.
 _REPORTS = [
-    ('{"overall_score": "85分", "skill_score": 82.75, "experience_score": 120, "education_score": -3, "comment": "ok", "interview_questions": ["a", "b"]}', (85.0, 82.8, 100.0, 0.0, "ok", 2, "overall_score 是字符串（85分），已解析为数值;skill_score 已四舍五入到一位小数;experience_score 为 120，已夹取到上限 100;education_score 为 -3，已夹取到下限 0")),
-    ('{"overall_score": true, "skill_score": 1, "experience_score": 2, "education_score": 3, "reason": " r ", "questions": "p"}', (0.0, 1.0, 2.0, 3.0, "r", 1, "overall_score 不是有效数字，已置为 0")),
-    ('{"skill_score": 1, "experience_score": 2, "education_score": 3}', (0.0, 1.0, 2.0, 3.0, "", 0, 'overall_score 缺失，已置为 0;overall_score 不是有效数字，已置为 0;缺少评分理由（comment），建议在提示词中强调"必须给出理由"')),
-    ('{"overall_score": ' + "9" * 400 + ', "skill_score": "' + "9" * 400 + '", "experience_score": 1e400, "education_score": 99.96, "summary": 5, "interviewQuestions": ["a", 1]}', (0.0, 0.0, 0.0, 100.0, "5", 1, "overall_score 不是有效数字，已置为 0;skill_score 是字符串（" + "9" * 400 + "），已解析为数值;skill_score 不是有效数字，已置为 0;experience_score 不是有效数字，已置为 0;education_score 已四舍五入到一位小数;interview_questions 中有 1 项不是有效文本，已忽略")),
+    ('{"overall_score":82,"skill_score":88,"experience_score":80,"education_score":75,"comment":"好","interview_questions":["一","二"]}', (82.0, 88.0, 80.0, 75.0, "好", "一,二", "")),
+    ('{"overall_score": "85分", "skill_score": 82.75, "experience_score": 120, "education_score": -3, "comment": "ok", "interview_questions": ["a", "b"]}', (85.0, 82.8, 100.0, 0.0, "ok", "a,b", "overall_score 是字符串（85分），已解析为数值;skill_score 已四舍五入到一位小数;experience_score 为 120，已夹取到上限 100;education_score 为 -3，已夹取到下限 0")),
+    ('{"overall_score": true, "skill_score": "88%", "experience_score": "none", "education_score": 3, "reason": " r ", "questions": "p"}', (0.0, 88.0, 0.0, 3.0, "r", "p", "overall_score 不是有效数字，已置为 0;skill_score 是字符串（88%），已解析为数值;experience_score 不是有效数字，已置为 0")),
+    ('{"skill_score": 1, "experience_score": 2, "education_score": 3}', (0.0, 1.0, 2.0, 3.0, "", "", f"{_MISSING.format('overall_score')};{_NO_COMMENT}")),
+    ('{"comment": "c"}', (0.0, 0.0, 0.0, 0.0, "c", "", ";".join(map(_MISSING.format, jsonfix.SCORES)))),
+    ('{"overall_score": ' + "9" * 400 + ', "skill_score": "' + "9" * 400 + '", "experience_score": 1e400, "education_score": 99.96, "summary": 5, "interviewQuestions": ["a", 1]}', (0.0, 0.0, 0.0, 100.0, "5", "a", "overall_score 不是有效数字，已置为 0;skill_score 是字符串（" + "9" * 400 + "），已解析为数值;skill_score 不是有效数字，已置为 0;experience_score 不是有效数字，已置为 0;education_score 已四舍五入到一位小数;interview_questions 中有 1 项不是有效文本，已忽略")),
     ('"x"', (None, None, None, None, None, None, "AI_INVALID_SHAPE")),
 ]
 
@@ -295,23 +315,33 @@ def _note(c: Column) -> Column:
     return F.coalesce(c["error_code"], F.array_join(c["warnings"], ";"))
 
 
+_PROFILE_COLUMNS = ("name", "phone", "email", "city", "education", "skills", "note")
+
+
+def _profile_row(expected: dict | str) -> tuple:
+    if isinstance(expected, str):
+        return (None, None, None, None, None, None, expected)
+    return (*(expected.get(c) for c in _PROFILE_COLUMNS[:4]), *(expected.get(c, "") for c in _PROFILE_COLUMNS[4:]))
+
+
 def _coerce_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.createDataFrame([(k, r) for k, (r, _) in enumerate(_PROFILES)], "id int, raw string")
     p = raw.select("id", jsonfix.coerced_profile(F.col("raw")).alias("p"))
     c = F.col("p")
-    return p.select("id", c["name"].alias("name"), c["email"].alias("email"), F.when(c["error_code"].isNull(), F.size(c["education"])).alias("n_education"), F.array_join(c["skills"], ",").alias("skills"), _note(c).alias("note"))
+    schools = F.array_join(F.transform(c["education"], lambda e: F.concat_ws("|", *(F.coalesce(e[f], F.lit("")) for f in _FIELDS))), ";")
+    return p.select("id", *(c[f].alias(f) for f in _PROFILE_COLUMNS[:4]), schools.alias("education"), F.array_join(c["skills"], ",").alias("skills"), _note(c).alias("note"))
 
 
 def _coerce_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.createDataFrame([(k, r) for k, (r, _) in enumerate(_REPORTS)], "id int, raw string")
     p = raw.select("id", jsonfix.coerced_report(F.col("raw")).alias("p"))
     c = F.col("p")
-    return p.select("id", *(c[s].alias(s) for s in jsonfix.SCORES), c["comment"].alias("comment"), F.when(c["error_code"].isNull(), F.size(c["interview_questions"])).alias("n_questions"), _note(c).alias("note"))
+    return p.select("id", *(c[s].alias(s) for s in jsonfix.SCORES), c["comment"].alias("comment"), F.array_join(c["interview_questions"], ",").alias("questions"), _note(c).alias("note"))
 
 
 QUERIES |= {"coerce_profile": _coerce_profile, "coerce_report": _coerce_report}
-ORACLES["coerce_profile"] = _values([(k, *e) for k, (_, e) in enumerate(_PROFILES)], ["id", "name", "email", "n_education", "skills", "note"])
-ORACLES["coerce_report"] = _values([(k, *e) for k, (_, e) in enumerate(_REPORTS)], ["id", *jsonfix.SCORES, "comment", "n_questions", "note"])
+ORACLES["coerce_profile"] = _values([(k, *_profile_row(e)) for k, (_, e) in enumerate(_PROFILES)], ["id", *_PROFILE_COLUMNS])
+ORACLES["coerce_report"] = _values([(k, *e) for k, (_, e) in enumerate(_REPORTS)], ["id", *jsonfix.SCORES, "comment", "questions", "note"])
 
 # --- layout, budgets, display -------------------------------------------------------------
 _RUN = "seq: int, x: double, y: double, width: double, height: double, scale: double, has_eol: boolean, str: string"
