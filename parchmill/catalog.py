@@ -190,11 +190,17 @@ def _pairs_query(name: str, columns: Callable[[], list[Column]], sql: str) -> No
 _pairs_query("score_components", lambda: [F.col(c) for c in ("skill_score", "experience_score", "education_score", "overall_score")], "skill_score, experience_score, education_score, overall_score")
 _pairs_query("skill_overlap_semi", lambda: [F.array_join("matched", ",").alias("matched"), F.size("matched").alias("n")], "array_to_string(matched, ',') AS matched, CAST(len(matched) AS INT) AS n")
 _pairs_query("skill_gap_anti", lambda: [F.array_join("missing", ",").alias("missing"), F.size("missing").alias("n")], "array_to_string(missing, ',') AS missing, CAST(len(missing) AS INT) AS n")
-_COMMENT = f"""concat('技能匹配度 ', {_NUM("skill_score")}, ' 分：命中岗位要求 ', CAST(len(matched) AS VARCHAR), '/', CAST(len(required) AS VARCHAR), ' 项技能（', CASE WHEN len(matched) = 0 THEN '{score.NO_HIGHLIGHT}' ELSE array_to_string(matched[1:5], '、') END, '）。',
-  CASE WHEN len(missing) = 0 THEN '{score.COVERED}' ELSE concat('主要差距在于缺少 ', array_to_string(missing[1:5], '、'), ' 等相关经验。') END, '经验与学历维度分别得 ', {_NUM("experience_score")}, ' 分、', {_NUM("education_score")}, ' 分。', '{score.CLOSING}')"""
+_SAID = lambda sentence, *values: "concat(" + ", ".join(x for part, value in zip(sentence, (*values, None)) for x in (_LIT(part), value) if x) + ")"
+_SHOWN_SKILLS = lambda c: f"array_to_string({c}[1:{score.SHOWN_SKILLS}], {_LIT(score.LIST_SIGN)})"
+_COMMENT = f"""concat(
+  {_SAID(score.SKILL_SENTENCE, _NUM("skill_score"), "CAST(len(matched) AS VARCHAR)", "CAST(len(required) AS VARCHAR)", f"CASE WHEN len(matched) = 0 THEN {_LIT(score.NO_HIGHLIGHT)} ELSE {_SHOWN_SKILLS('matched')} END")},
+  CASE WHEN len(missing) = 0 THEN {_LIT(score.COVERED)} ELSE {_SAID(score.GAP_SENTENCE, _SHOWN_SKILLS("missing"))} END,
+  {_SAID(score.OTHER_SENTENCE, _NUM("experience_score"), _NUM("education_score"))}, {_LIT(score.CLOSING)})"""
 _pairs_query("match_comment", lambda: [score.comment().alias("comment")], f"{_COMMENT} AS comment")
-_QUESTIONS = f"""list_concat(list_transform(missing[1:2], lambda x: concat('简历中没有体现 ', x, ' 相关经验，请介绍你对该技术的了解，以及如果项目需要你会如何上手？')),
-  list_filter([CASE WHEN years < required_years THEN concat('岗位期望 ', CAST(required_years AS VARCHAR), ' 年以上经验，你目前约 ', CAST(years AS VARCHAR), ' 年，请举例说明你如何在更短时间内承担同等复杂度的任务？') END, '{score.PROJECT_QUESTION}', CASE WHEN len(missing) = 0 THEN '{score.QUALITY_QUESTION}' END], lambda x: x IS NOT NULL))"""
+_QUESTIONS = f"""list_concat(
+  list_transform(missing[1:{score.ASKED_SKILLS}], lambda x: {_SAID(score.GAP_QUESTION, "x")}),
+  list_filter([CASE WHEN years < required_years THEN {_SAID(score.YEARS_QUESTION, "CAST(required_years AS VARCHAR)", "CAST(years AS VARCHAR)")} END,
+    {_LIT(score.PROJECT_QUESTION)}, CASE WHEN len(missing) = 0 THEN {_LIT(score.QUALITY_QUESTION)} END], lambda x: x IS NOT NULL))"""
 _pairs_query("interview_questions", lambda: [F.array_join(score.questions(), "\n").alias("questions")], f"array_to_string({_QUESTIONS}, chr(10)) AS questions")
 _pairs_query("match_report", lambda: [F.col("overall_score"), F.col("skill_score"), score.comment().alias("comment"), F.array_join(score.questions(), "\n").alias("questions")], f"overall_score, skill_score, {_COMMENT} AS comment, array_to_string({_QUESTIONS}, chr(10)) AS questions")
 
@@ -269,7 +275,7 @@ def _json_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["json_repair_cases"] = _json_cases
 
-_NO_NAME, _NO_SCHOOL, _NO_SKILL = "未能从简历中提取到姓名", "未提取到任何教育经历", "未提取到任何技能"
+_NO_NAME, _NO_SCHOOL, _NO_SKILL, _NO_COMMENT = (jsonfix.WARNINGS[k] for k in ("no_name", "no_education", "no_skills", "no_comment"))
 _MANY = lambda n: [f"s{k}" for k in range(n)]
 #: Text of a profile, and what of it isn't empty: fields, schools, skills, and the note (warnings or the error code).
 _PROFILES = [
@@ -289,15 +295,14 @@ _PROFILES = [
     ('{"name": "' + chr(92) + 'udfff", "education": [{}], "skills": ["' + chr(92) + 'ud800"]}', {"name": chr(0xFFFD), "education": "|||", "skills": chr(0xFFFD)}),
     ("[1,2,3]", "AI_INVALID_SHAPE"), ('"text"', "AI_INVALID_SHAPE"), ("null", "AI_INVALID_SHAPE"), ('{"name":', "AI_INVALID_JSON"),
 ]
-_MISSING = "{0} 缺失，已置为 0;{0} 不是有效数字，已置为 0"
-_NO_COMMENT = '缺少评分理由（comment），建议在提示词中强调"必须给出理由"'
+_MISSING = lambda field: ";".join(jsonfix.WARNINGS[k].format(field=field) for k in ("missing", "no_number"))
 #: Text of a report, and its four scores, comment, questions and note.
 _REPORTS = [
     ('{"overall_score":82,"skill_score":88,"experience_score":80,"education_score":75,"comment":"好","interview_questions":["一","二"]}', (82.0, 88.0, 80.0, 75.0, "好", "一,二", "")),
     ('{"overall_score": "85分", "skill_score": 82.75, "experience_score": 120, "education_score": -3, "comment": "ok", "interview_questions": ["a", "b"]}', (85.0, 82.8, 100.0, 0.0, "ok", "a,b", "overall_score 是字符串（85分），已解析为数值;skill_score 已四舍五入到一位小数;experience_score 为 120，已夹取到上限 100;education_score 为 -3，已夹取到下限 0")),
     ('{"overall_score": true, "skill_score": "88%", "experience_score": "none", "education_score": 3, "reason": " r ", "questions": "p"}', (0.0, 88.0, 0.0, 3.0, "r", "p", "overall_score 不是有效数字，已置为 0;skill_score 是字符串（88%），已解析为数值;experience_score 不是有效数字，已置为 0")),
-    ('{"skill_score": 1, "experience_score": 2, "education_score": 3}', (0.0, 1.0, 2.0, 3.0, "", "", f"{_MISSING.format('overall_score')};{_NO_COMMENT}")),
-    ('{"comment": "c"}', (0.0, 0.0, 0.0, 0.0, "c", "", ";".join(map(_MISSING.format, jsonfix.SCORES)))),
+    ('{"skill_score": 1, "experience_score": 2, "education_score": 3}', (0.0, 1.0, 2.0, 3.0, "", "", f"{_MISSING('overall_score')};{_NO_COMMENT}")),
+    ('{"comment": "c"}', (0.0, 0.0, 0.0, 0.0, "c", "", ";".join(map(_MISSING, jsonfix.SCORES)))),
     ('{"overall_score": ' + "9" * 400 + ', "skill_score": "' + "9" * 400 + '", "experience_score": 1e400, "education_score": 99.96, "summary": 5, "interviewQuestions": ["a", 1]}', (0.0, 0.0, 0.0, 100.0, "5", "a", "overall_score 不是有效数字，已置为 0;skill_score 是字符串（" + "9" * 400 + "），已解析为数值;skill_score 不是有效数字，已置为 0;experience_score 不是有效数字，已置为 0;education_score 已四舍五入到一位小数;interview_questions 中有 1 项不是有效文本，已忽略")),
     ('"x"', (None, None, None, None, None, None, "AI_INVALID_SHAPE")),
 ]

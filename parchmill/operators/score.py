@@ -18,6 +18,12 @@ COVERED = "岗位要求的技术栈基本已被简历覆盖。"
 CLOSING = "（本结果由离线规则引擎生成，未调用大模型）"
 PROJECT_QUESTION = "请介绍一个你主导过的、最能体现技术深度的项目，重点说明你在其中的具体职责与关键决策。"
 QUALITY_QUESTION = "你如何保证交付质量？请结合一次线上问题排查经历说明你的方法论。"
+LIST_SIGN, SHOWN_SKILLS, ASKED_SKILLS, MOST_QUESTIONS = "、", 5, 2, 5
+SKILL_SENTENCE = ("技能匹配度 ", " 分：命中岗位要求 ", "/", " 项技能（", "）。")
+GAP_SENTENCE = ("主要差距在于缺少 ", " 等相关经验。")
+OTHER_SENTENCE = ("经验与学历维度分别得 ", " 分、", " 分。")
+GAP_QUESTION = ("简历中没有体现 ", " 相关经验，请介绍你对该技术的了解，以及如果项目需要你会如何上手？")
+YEARS_QUESTION = ("岗位期望 ", " 年以上经验，你目前约 ", " 年，请举例说明你如何在更短时间内承担同等复杂度的任务？")
 # End of the fixed values.
 
 
@@ -79,21 +85,31 @@ def match(paired: DataFrame) -> DataFrame:
     return out.withColumn("overall_score", _clamp(F.col("skill_score") * 0.5 + F.col("experience_score") * 0.3 + F.col("education_score") * 0.2))
 
 
+def _filled(sentence: tuple[str, ...], *values: Column) -> Column:
+    """The parts of a sentence with values between them."""
+    parts = [F.lit(sentence[0])]
+    for value, part in zip(values, sentence[1:]):
+        parts += [value.cast("string"), F.lit(part)]
+    return F.concat(*parts)
+
+
 def comment() -> Column:
-    top, gaps = F.array_join(F.slice("matched", 1, 5), "、"), F.array_join(F.slice("missing", 1, 5), "、")
+    top, gaps = (F.array_join(F.slice(c, 1, SHOWN_SKILLS), LIST_SIGN) for c in ("matched", "missing"))
     total = F.size("matched") + F.size("missing")
+    shown = F.when(top == "", NO_HIGHLIGHT).otherwise(top)
     return F.concat(
-        F.lit("技能匹配度 "), number_text(F.col("skill_score")), F.lit(" 分：命中岗位要求 "), F.size("matched").cast("string"), F.lit("/"), total.cast("string"), F.lit(" 项技能（"), F.when(top == "", NO_HIGHLIGHT).otherwise(top), F.lit("）。"),
-        F.when(gaps == "", COVERED).otherwise(F.concat(F.lit("主要差距在于缺少 "), gaps, F.lit(" 等相关经验。"))),
-        F.lit("经验与学历维度分别得 "), number_text(F.col("experience_score")), F.lit(" 分、"), number_text(F.col("education_score")), F.lit(" 分。"), F.lit(CLOSING),
-    )
+        _filled(SKILL_SENTENCE, number_text(F.col("skill_score")), F.size("matched"), total, shown),
+        F.when(gaps == "", COVERED).otherwise(_filled(GAP_SENTENCE, gaps)),
+        _filled(OTHER_SENTENCE, number_text(F.col("experience_score")), number_text(F.col("education_score"))),
+        F.lit(CLOSING),
+    )
 
 
 def questions() -> Column:
-    about = F.transform(F.slice("missing", 1, 2), lambda s: F.concat(F.lit("简历中没有体现 "), s, F.lit(" 相关经验，请介绍你对该技术的了解，以及如果项目需要你会如何上手？")))
-    short = F.when(F.col("years") < F.col("required_years"), F.concat(F.lit("岗位期望 "), F.col("required_years").cast("string"), F.lit(" 年以上经验，你目前约 "), F.col("years").cast("string"), F.lit(" 年，请举例说明你如何在更短时间内承担同等复杂度的任务？")))
+    about = F.transform(F.slice("missing", 1, ASKED_SKILLS), lambda s: _filled(GAP_QUESTION, s))
+    short = F.when(F.col("years") < F.col("required_years"), _filled(YEARS_QUESTION, F.col("required_years"), F.col("years")))
     full = F.when(F.size("missing") == 0, QUALITY_QUESTION)
-    return F.slice(F.concat(about, F.array_compact(F.array(short, F.lit(PROJECT_QUESTION), full))), 1, 5)
+    return F.slice(F.concat(about, F.array_compact(F.array(short, F.lit(PROJECT_QUESTION), full))), 1, MOST_QUESTIONS)
 
 
 #: Ranges of candidates that equal scores are counted by.
