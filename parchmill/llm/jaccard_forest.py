@@ -240,7 +240,13 @@ class Units:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+    """The rows of a column of ``width`` bytes each, without nulls, as they lie in its buffer."""
+    column = column.cast(pa.binary())
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    _, ends, data = column.buffers()
+    first = int(np.frombuffer(ends, np.int32)[column.offset])
+    return np.frombuffer(data, np.uint8, len(column) * width, first).reshape(len(column), width)
 
 
 KEY = ["tree", "node", "i", "j"]

@@ -168,6 +168,11 @@ def word_array(buf: np.ndarray, off: np.ndarray, table: np.ndarray, cuts: np.nda
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))), row
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The texts of a column without nulls, by Arrow's own loop: ``to_pylist`` makes a scalar of each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 #: Characters of a word that ``WordCodec`` keeps, at most.
 LONGEST = 64
 
@@ -209,7 +214,7 @@ class WordCodec:
     def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in word order, ids of each word)."""
         coded = words.dictionary_encode()
-        flat, sizes = self.distinct(coded.dictionary.to_pylist())
+        flat, sizes = self.distinct(strings(coded.dictionary))
         codes = coded.indices.to_numpy()
         if not len(codes):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)

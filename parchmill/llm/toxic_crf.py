@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchmill.llm.textbuf import ALNUM, LOWER, mix, sliced, spans
+from parchmill.llm.textbuf import ALNUM, LOWER, mix, sliced, spans, strings
 
 #: Training documents at most of each label, by smallest xxhash64(doc_id).
 SAMPLE = 2500
@@ -243,7 +243,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS)
     if not len(row):
         return empty
     coded = pa.concat_arrays(words).dictionary_encode()
-    vocabulary, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    vocabulary, codes = strings(coded.dictionary), coded.indices.to_numpy()
     # Witnesses of a cue are distinct words before it: copies, exact or near, add none.
     before = np.append(-1, codes[:-1]).astype(np.int64)
     before[np.concatenate([[True], row[1:] != row[:-1]])] = -1
@@ -348,7 +348,7 @@ def tag(docs: DataFrame, model: ToxicTagger, id_col: str = "doc_id", text_col: s
                 n = hi - lo
                 words, start, end, row = _tokens(buf, off)
                 coded = words.dictionary_encode()
-                vocabulary = coded.dictionary.to_pylist()
+                vocabulary = strings(coded.dictionary)
                 new = [w for w in vocabulary if w not in known]
                 if len(known) + len(new) > 150_000:
                     known, new = {}, vocabulary
